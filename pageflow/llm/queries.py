@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageflow.llm import repetition
+from pageflow.llm import lookalike, repetition
 from pageflow.llm.spans import SharedSpans
 from pageflow.session import load_table
 
@@ -47,3 +47,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.outliers(_pages(spark, sf_dir), "page_result_id", "origin", ["text", "md_nohf_text"]).selectExpr("id as page_result_id", "field", "repeated / words as repeated_share", "round(distance, 6) as distance", "outlier", "rejected")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.found(_pages(spark, sf_dir), "page_result_id", ["text", "source_text"]).withColumnRenamed("id", "page_result_id")
+
+
+@query
+def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.normalized(_pages(spark, sf_dir), "page_result_id", ["text", "source_text"]).withColumnRenamed("id", "page_result_id")
