@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageflow.llm import lookalike, repetition
+from pageflow.llm import lookalike, repetition, truncation
 from pageflow.llm.spans import SharedSpans
 from pageflow.session import load_table
 
@@ -57,3 +58,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalized(_pages(spark, sf_dir), "page_result_id", ["text", "source_text"]).withColumnRenamed("id", "page_result_id")
+
+
+def _cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).select(F.lit("page_results").alias("tbl"), F.col("page_result_id").alias("row_id"), F.col("origin").alias("source"), F.lit(None).cast("string").alias("label"), "text")
+    blocks = load_table(spark, sf_dir, "paddle_worker").select(F.lit("paddle_worker").alias("tbl"), F.col("block_uid").alias("row_id"), F.col("worker_id").alias("source"), F.col("block_label").alias("label"), F.col("block_content").alias("text"))
+    return pages.unionByName(blocks)
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(_cut_values(spark, sf_dir)).filter("cut").select("tbl", "row_id")
+
+
+@query
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(_cut_values(spark, sf_dir))
