@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.llm import lookalike, repetition, truncation
+from pageflow.llm.pagenoise import PageNoise
 from pageflow.llm.spans import SharedSpans
 from pageflow.session import load_table
 
@@ -74,3 +75,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(_cut_values(spark, sf_dir))
+
+
+def _noise(spark: SparkSession, sf_dir: str) -> PageNoise:
+    return PageNoise(_pages(spark, sf_dir), load_table(spark, sf_dir, "source_files"), "page_result_id", ["text", "md_nohf_text", "fallback_text"])
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noise(spark, sf_dir).found().withColumnRenamed("id", "page_result_id")
+
+
+@query
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noise(spark, sf_dir).repaired().withColumnRenamed("id", "page_result_id")
+
+
+@query
+def p2_misread_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noise(spark, sf_dir).forms
