@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers of this application the package, whatever directory they run in; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).parent
+    target = os.path.join(tempfile.mkdtemp(prefix="pageflow-package-"), "pageflow_package.zip")
+    with zipfile.PyZipFile(target, "w") as z:
+        z.writepy(str(root))
+    spark.sparkContext.addPyFile(target)
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table *name* below *sf_dir*, as a lazily read parquet scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
