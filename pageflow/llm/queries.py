@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import lookalike, repetition, truncation
+from pageflow.llm import lookalike, markup, repetition, truncation
 from pageflow.llm.pagenoise import PageNoise
 from pageflow.llm.spans import SharedSpans
 from pageflow.session import load_table
@@ -94,3 +94,18 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_misread_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noise(spark, sf_dir).forms
+
+
+def _marked(f: Callable[..., DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = f(_pages(spark, sf_dir), "page_results", "page_result_id", ["text", "source_text"])
+    return pages.unionByName(f(load_table(spark, sf_dir, "paddle_worker"), "paddle_worker", "block_uid", ["block_content"]))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(markup.found, spark, sf_dir)
+
+
+@query
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(markup.cleaned, spark, sf_dir)
