@@ -122,6 +122,7 @@ def _features(text: str, m_form: str, start: int, end: int, depth: int, same: in
         int(bool(re.search(r"[\^_=]|\\", inner))) if m_form == "formula" else 0,
         int("\n" in raw.strip()),
         int("<" in text[max(0, start - 100) : start]),
+        int(alone and above[-1:].isdigit()),
     )
 
 
@@ -212,6 +213,7 @@ def _generated(rng: random.Random) -> Iterator[tuple[str, int, str]]:
     yield f"{w(3)}.\n\x00* {w(4)}.\x00\n* {w(3)}.", M, "bullet"
     yield f"\x00{rng.choice('-+*')} {w(4)}\x00\n{w()}", M, "bullet"
     yield f"{w(3)} wrote {n()}\n\x00* {n()} * {n()} {w(3)}.\x00", N, "bullet"
+    yield f"{w(3)} wrote {n()} * {n()}\n\x00* {n()} {w(3)}.\x00", N, "bullet"
     yield f"{w(3)}.\n\x00- {n()} -\x00\n{w(2)}", N, "bullet"
     yield f"{w(4)}.\n\x00> {w(5)}.\x00", M, "quote"
     yield f"\x00> {w(5)}.\x00", M, "quote"

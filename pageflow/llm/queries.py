@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import lookalike, markup, repetition, truncation
+from pageflow.llm import lookalike, markup, pii, repetition, truncation
 from pageflow.llm.pagenoise import PageNoise
 from pageflow.llm.spans import SharedSpans
 from pageflow.session import load_table
@@ -109,3 +109,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(markup.cleaned, spark, sf_dir)
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.occurrences(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "name_list")).selectExpr("id as doc_id", "start_char", "kind")
+
+
+@query
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "name_list")).withColumnRenamed("id", "doc_id")
