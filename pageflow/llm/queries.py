@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import lookalike, markup, pii, repetition, truncation
+from pageflow.llm import lookalike, markup, packing, pii, repetition, truncation
 from pageflow.llm.pagenoise import PageNoise
 from pageflow.llm.spans import SharedSpans
 from pageflow.session import load_table
@@ -111,6 +111,25 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(markup.cleaned, spark, sf_dir)
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "container_sizes"))
+
+
+@query
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.bins(_packed(spark, sf_dir))
+
+
+@query
+def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(_packed(spark, sf_dir))
+
+
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.occurrences(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "name_list")).selectExpr("id as doc_id", "start_char", "kind")
