@@ -116,7 +116,7 @@ def _left(text: str, start: int) -> tuple[str, str, str]:
 def _right(text: str, end: int) -> str:
     m = _WORD.search(text, end, end + 24)
     if not m or text[end : m.start()].strip(" \n\t\r"):
-        return text[end : end + 1] or "$"
+        return text[end : end + 3].strip()[:1] or "$"
     return _AFTER.get(m[0].lower(), "w")
 
 
@@ -131,7 +131,7 @@ class Finder:
     def _part(self, word: str) -> str:
         kinds = set()
         for w in word.lower().split("-"):
-            kinds.add(("G" if w in self.given else "") + ("F" if w in self.family else "") or ("c" if w in self.common else "u"))
+            kinds.add("t" if _CUE.get(w) == "title" else ("G" if w in self.given else "") + ("F" if w in self.family else "") or ("c" if w in self.common else "u"))
         return "-".join(sorted(kinds)) if "-" in word else kinds.pop()
 
     def _names(self, text: str) -> Iterator[Segment]:
@@ -260,7 +260,7 @@ def _filled(rng: random.Random, slot: str, given: list[str], family: list[str])
     pick = rng.choice
     town = lambda: pick(("Kel", "Nor", "Hol", "Wen", "Tan")) + pick(("ab", "or", "im", "")) + pick(("field", "by", "mere", "gate"))
     new_name = lambda: pick(("Bra", "Del", "Ost", "Pir", "Gun", "Zor")) + pick(("lin", "mar", "ton", "vek", "sor"))
-    g = pick(given).title() if rng.random() < 0.85 else new_name()
+    g = pick(given).title() if rng.random() < 0.75 else new_name()
     f = pick(family).title()
     if rng.random() < 0.12 and g.lower() in given:
         f = new_name()
@@ -364,15 +364,18 @@ def training_examples(finder: Finder, count: int = TRAINING, seed: int = 11) ->
 @lru_cache(maxsize=4)
 def trained(given: frozenset[str], family: frozenset[str]) -> dict[str, float]:
     """The weights for a name list; always the same for the same list."""
-    common = {w for f in family for w in [f] if w in _ALSO_WORDS} | set(_PLAIN_WORDS) | {"the", "on", "two", "under", "in"}
+    common = {w for f in family for w in [f] if w in _ALSO_WORDS} | set(_PLAIN_WORDS) | set("the on two under in from near at of by to road letters contact questions ring ticket card mill boat market bridge".split())
     return semicrf.train(training_examples(Finder(set(given), set(family), common)))
 
 
 _ALSO_WORDS = frozenset("clay fisher garden marsh mason miller steele weaver baker brook carter cook field forest hill king lane mill page reed stone wood young".split())
 
 
+_LOWER = re.compile(r"(?<![\w@.+-])[a-zà-öø-ÿ]{3,}(?![\w@]|[.+-]\w|\s?[\[(@]|\s[Aa][Tt]\s)")
+
+
 def _lower_words(text: str | None) -> list[str]:
-    return re.findall(r"(?<![\w@.+-])[a-zà-öø-ÿ]{3,}(?![\w@])", text) if text else []
+    return _LOWER.findall(text) if text else []
 
 
 def _parts(df: DataFrame) -> DataFrame:
