@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import lookalike, markup, packing, pii, repetition, truncation
+from pageflow.llm import lookalike, markup, mixing, packing, pii, repetition, truncation
 from pageflow.llm.pagenoise import PageNoise
 from pageflow.llm.spans import SharedSpans
 from pageflow.session import load_table
@@ -130,6 +130,17 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(_packed(spark, sf_dir))
 
 
+@query
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = load_table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mixed(load_table(spark, sf_dir, "documents"), targets), targets)
+
+
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.occurrences(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "name_list")).selectExpr("id as doc_id", "start_char", "kind")
