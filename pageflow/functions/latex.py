@@ -13,7 +13,7 @@ SYMBOLS = dict(zip(_PAIRS[::2], _PAIRS[1::2], strict=True))
 SUPERSCRIPTS = dict(zip("0123456789+-=()ni", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", strict=True))
 SUBSCRIPTS = dict(zip("0123456789+-=()aehijklmnoprstuvx", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₕᵢⱼₖₗₘₙₒₚᵣₛₜᵤᵥₓ", strict=True))
 TEXT_COMMANDS = frozenset("text textbf textit textrm textsf texttt emph mathrm mathbf mathit mathsf mathcal mathbb operatorname mbox hbox boldsymbol underline overline".split())
-SPACES = {"\\,": " ", "\;": " ", "\\:": " ", "\\!": "", "\\ ": " ", "\\quad": " ", "\\qquad": "  ", "~": " "}
+SPACES = {"\\,": " ", "\\;": " ", "\\:": " ", "\\!": "", "\\ ": " ", "\\quad": " ", "\\qquad": "  ", "~": " "}
 VULGAR = {(1, 4): "¼", (1, 2): "½", (3, 4): "¾", (1, 7): "⅐", (1, 9): "⅑", (1, 10): "⅒", (1, 3): "⅓", (2, 3): "⅔", (1, 5): "⅕", (2, 5): "⅖", (3, 5): "⅗", (4, 5): "⅘", (1, 6): "⅙", (5, 6): "⅚", (1, 8): "⅛", (3, 8): "⅜", (5, 8): "⅝", (7, 8): "⅞"}
 MAX_DEPTH = 24
 _TOKEN = re.compile(r"\\[A-Za-z]+\*?|\\.|[{}^_~]|[^\\{}^_~]+", re.S)
