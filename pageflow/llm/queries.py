@@ -149,3 +149,24 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "name_list")).withColumnRenamed("id", "doc_id")
+
+
+# The SQL that must give the same rows, where SQL can express a query.
+ORACLES["p1_found"] = """WITH v AS (SELECT page_result_id AS id, unnest([text, source_text]) AS t FROM page_results), p AS (SELECT DISTINCT id, t FROM v WHERE length(t) >= 200),
+    g AS (SELECT DISTINCT id, hash(substr(t, i, 200)) AS h FROM (SELECT id, t, unnest(range(1, length(t) - 198)) AS i FROM p))
+    SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.h = b.h AND a.id < b.id"""
+ORACLES["p4_found"] = r"""WITH v AS (SELECT page_result_id, unnest(['text', 'md_nohf_text']) AS field, unnest([text, md_nohf_text]) AS t FROM page_results),
+    w AS (SELECT page_result_id, field, regexp_extract_all(lower(t), '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]|[\p{Latin}\p{Greek}\p{Cyrillic}\p{N}]+') AS ws FROM v WHERE t <> ''),
+    k AS (SELECT *, CASE WHEN len(list_filter(ws, lambda x: regexp_matches(x, '^[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]'))) * 2 > len(ws) THEN 12 ELSE 6 END AS k FROM w WHERE len(ws) > 0),
+    g AS (SELECT page_result_id, field, len(ws) AS n, k, unnest(range(1, len(ws) - k + 2)) AS i, ws FROM k), h AS (SELECT page_result_id, field, n, k, i, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_result_id, field, gram ORDER BY i) AS occurrence FROM h),
+    m AS (SELECT DISTINCT page_result_id, field, n, unnest(range(i, i + k)) AS at FROM r WHERE occurrence > 1)
+    SELECT page_result_id, field FROM m GROUP BY page_result_id, field, n HAVING count(*) * 3 >= n"""
+_ZERO_WIDTH = r"[\x{00ad}\x{034f}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}]"
+ORACLES["p5_found"] = rf"""WITH v AS (SELECT page_result_id, unnest(['text', 'source_text']) AS field, unnest([text, source_text]) AS t FROM page_results),
+    z AS (SELECT *, regexp_replace(t, '{_ZERO_WIDTH}', '', 'g') AS s FROM v WHERE t <> '')
+    SELECT page_result_id, field, 'fullwidth' AS kind FROM z WHERE regexp_matches(t, '[\x{{ff10}}-\x{{ff19}}\x{{ff21}}-\x{{ff3a}}\x{{ff41}}-\x{{ff5a}}]')
+    UNION ALL SELECT page_result_id, field, 'zero_width' FROM z WHERE regexp_matches(t, '{_ZERO_WIDTH}')
+    UNION ALL SELECT page_result_id, field, 'nbsp' FROM z WHERE regexp_matches(t, '[\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]')
+    UNION ALL SELECT page_result_id, field, 'combining' FROM z WHERE regexp_matches(s, '\p{{M}}') AND nfc_normalize(s) <> s
+    UNION ALL SELECT page_result_id, field, 'lookalike' FROM z WHERE regexp_matches(nfc_normalize(s), '\p{{Latin}}\p{{M}}*[\p{{Greek}}\p{{Cyrillic}}]|[\p{{Greek}}\p{{Cyrillic}}]\p{{M}}*\p{{Latin}}|\p{{Greek}}\p{{M}}*\p{{Cyrillic}}|\p{{Cyrillic}}\p{{M}}*\p{{Greek}}')"""
