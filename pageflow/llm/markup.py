@@ -5,8 +5,9 @@ entity, a heading mark, an emphasis, a link, a template, a table, a command or a
 formula, nested by containment.  Boosted trees over the nodes' features (opener,
 closing, tag name and attributes, depth, siblings, density of markup inside,
 surroundings) score the classes none, html, markdown, wiki and latex; decoding
-takes the best labels for a whole tree together, so that nothing inside code is
-markup and nothing inside a formula is anything but LaTeX.
+goes down from the roots, each node getting the best class that its ancestors
+allow, so that nothing inside code is markup and nothing inside a formula is
+anything but LaTeX.
 
 The trees are trained on generated nodes (``training_nodes``): their number is
 bounded by ``TRAINING`` and doesn't depend on the data.
@@ -55,7 +56,7 @@ _FORMS = (
     ("tag", r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?/?>|<!--.*?-->"),
     ("entity", r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"),
     ("angle", r"<[^<>\n]{0,90}>"),
-    ("tablerow", r"^[ \t]*\|.*\|[ \t]*$"),
+    ("tablerow", r"^[ \t]*\|[^\n]*\|[ \t]*$"),
     ("heading", r"^[ \t]{0,3}#{1,6}(?!#)[ \t]*\S[^\n]*$"),
     ("quote", r"^[ \t]{0,3}>[ \t][^\n]*$"),
     ("bullet", r"^[ \t]*[*+-][ \t]+[^\n]*$"),
@@ -151,40 +152,26 @@ def parse(text: str) -> list[Node]:
 
 
 def decode(roots: Sequence[Node], scores: dict[tuple[int, ...], np.ndarray]) -> dict[int, int]:
-    """The best class of every node (by its identity), for each tree as a whole, bottom up."""
-    order: list[Node] = []
-    stack = list(roots)
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(node.children)
-    free: dict[int, np.ndarray] = {}
-    for node in reversed(order):
-        own = scores[node.features].copy()
-        for child in node.children:
-            own += _below(node, free[id(child)]).max(axis=1)
-        free[id(node)] = own
+    """The class of every node (by its identity), from the roots down: each the best that its ancestors allow."""
     labels: dict[int, int] = {}
-    todo = [(node, int(free[id(node)].argmax())) for node in roots]
+    todo: list[tuple[Node, np.ndarray]] = [(node, _FREE) for node in roots]
     while todo:
-        node, label = todo.pop()
+        node, allowed = todo.pop()
+        label = int((scores[node.features] + allowed).argmax())
         labels[id(node)] = label
-        todo += [(child, int(_below(node, free[id(child)])[label].argmax())) for child in node.children]
+        if label and node.form in ("fence", "code"):
+            allowed = _IN_CODE
+        elif label and node.form in ("display", "formula", "command"):
+            allowed = _IN_FORMULA
+        todo += [(child, allowed) for child in node.children]
     return labels
 
 
+# What may stand within: inside code nothing is markup, inside a formula nothing but LaTeX.
 _NEVER = -1e9
-_WITHIN_ANY = np.zeros((5, 5))
-_WITHIN_FORMULA = np.zeros((5, 5))
-_WITHIN_FORMULA[4] = [-1.0, _NEVER, _NEVER, _NEVER, 0.0]
-_WITHIN_CODE = np.zeros((5, 5))
-_WITHIN_CODE[2] = [0.0, _NEVER, _NEVER, _NEVER, _NEVER]
-
-
-def _below(node: Node, child: np.ndarray) -> np.ndarray:
-    """For each class of *node* the scores of its child, contradictions excluded."""
-    rule = _WITHIN_FORMULA if node.form in ("display", "formula", "command") else _WITHIN_CODE if node.form in ("fence", "code") else _WITHIN_ANY
-    return rule + child[None, :]
+_FREE = np.zeros(5)
+_IN_CODE = np.array([0.0, _NEVER, _NEVER, _NEVER, _NEVER])
+_IN_FORMULA = np.array([0.0, _NEVER, _NEVER, _NEVER, 0.0])
 
 
 _VOCAB = "alte and annual beside Brücke cargo chapelle church copper die drainage église five ferry garden grange house книга le ledger Mappe market mill north of orchard река road school signal the tower und Wolle 灯塔 抄本 集市".split()
@@ -372,7 +359,7 @@ def _render_tag(raw: str) -> str:
         return "\n" if closing else "\n[heading] "
     if name in ("td", "th"):
         return "\t" if closing else ""
-    if name in ("tr", "br", "p", "div", "table", "ul", "ol", "blockquote"):
+    if name in ("tr", "br", "p", "div", "table", "blockquote"):
         return "\n" if closing or name == "br" else ""
     if name == "li":
         return "\n" if closing else "• "

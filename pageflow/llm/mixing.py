@@ -189,7 +189,7 @@ def mixed(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
     steps = fit_rates(groups, [total * wanted[d][0] / shares for d in usable])
     rated = members.filter("cap > 0").withColumn("rate", _rate(steps)).select("id", "domain", "tokens", "cap", "rate")
     uses = _whole_uses(rated)
-    return members.select("id", "source", "domain", "tokens").join(uses.select("id", F.col("domain").alias("_d"), "uses"), "id", "left").select("id", "source", "domain", "tokens", F.coalesce("uses", F.lit(0)).alias("uses"))
+    return members.select("id", "source", "domain", "tokens").join(uses.select("id", F.col("domain").alias("_d"), "uses"), "id", "left").select("id", "source", "domain", "tokens", F.when(F.col("tokens") > 0, F.coalesce("uses", F.lit(0))).otherwise(0).alias("uses"))
 
 
 def shares(rows: DataFrame, targets: DataFrame) -> DataFrame:

@@ -334,7 +334,7 @@ def _filled(rng: random.Random, slot: str, given: list[str], family: list[str])
 def training_examples(finder: Finder, count: int = TRAINING, seed: int = 11) -> list[tuple[list[Segment], set[tuple[int, int, str]]]]:
     """Lattices of generated sentences with their true segments."""
     rng = random.Random(seed)
-    given, family = sorted(finder.given), sorted(finder.family)
+    given, family = sorted(finder.given) or ["ansel"], sorted(finder.family) or ["ostrand"]
     out = []
     for i in range(count):
         text, cases = "", []
