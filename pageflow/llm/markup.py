@@ -191,6 +191,17 @@ def _generated(rng: random.Random) -> Iterator[tuple[str, int, str]]:
     yield f'{w()}\x00<{tag} class="{w()}" id=x{n()}>\x00{w(2)}', H, "tag"
     yield f"\x00<{rng.choice(('br', 'hr', 'img src=a'))}/>\x00{w(2)}", H, "tag"
     yield f"{w()}\x00&{rng.choice(('nbsp', 'amp', 'mdash', 'lt', 'gt', 'quot', 'eacute', '#160', '#x2014'))};\x00{w()}", H, "entity"
+    yield f"<p>{w()} \x00&{rng.choice(('amp', 'nbsp', 'lt', 'quot', '#8211'))};\x00 <b>{w()}</b></p>", H, "entity"
+    yield f"<td>{w()} \x00${formula}$\x00</td><td>{n()}</td>", L, "formula"
+    yield f"<b>{w()}</b> \x00**{w()}**\x00 : {w()}", M, "strong"
+    yield f"<b>{w()}</b> \x00'''{w()}'''\x00 {w()}", K, "quotes"
+    yield f"<b>{w()}</b>.\n\x00* {w(4)}.\x00", M, "bullet"
+    yield f"<b>{w()}</b>\n\x00## {w(3)}\x00\n", M, "heading"
+    yield f"{w()}{rng.choice('。.')}\n\x00* {n(1600, 1999)}年，{rng.choice(('灯塔', '抄本'))}的集市曾被抄写。\x00", M, "bullet"
+    yield f"{w()}{rng.choice('。.')}\n\x00> {n(1600, 1999)}{rng.choice(('年，', ' '))}{rng.choice(('灯塔', 'sheets'))}.\x00", M, "quote"
+    yield f"{w(3)}.\n\x00> {n()}. {w()}, {n()}.\x00", M, "quote"
+    yield f"{w(3)}.\n\x00* {n()}. {w()}, {n()}.\x00", M, "bullet"
+    yield f"{w(2)} < {n()} \x00\\textbf{{{w()}}}\x00 {w()}", L, "command"
     yield f"{w(3)} \x00&{rng.choice(('c', 'co', 'cetera', 'x'))};\x00 {w()}", N, "entity"
     yield f"\x00{'#' * rng.randint(1, 6)} {w(3)}\x00\n\n{w(4)}.", M, "heading"
     yield f"{w(4)}.\n\n\x00{'#' * rng.randint(1, 6)} {rng.choice((w(2), n(1600, 1999)))}\x00\n{w(4)}.", M, "heading"

@@ -154,8 +154,16 @@ def _filled(given: DataFrame) -> DataFrame:
     sizes = free.groupBy("domain", "tokens").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
     below = F.coalesce(F.sum(F.col("n") * F.col("tokens")).over(Window.partitionBy("domain").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = sizes.withColumn("below", below).filter("below < left").select("domain", "tokens", F.least("n", F.floor((F.col("left") - F.col("below")) / F.col("tokens"))).alias("quota")).filter("quota > 0")
-    order = Window.partitionBy("domain", "tokens").orderBy("order", "id")
-    ranked = given.filter(F.col("uses") < F.col("cap")).join(quota, ["domain", "tokens"]).withColumn("r", F.row_number().over(order)).filter("r <= quota").select("id", "domain", F.lit(1).alias("more"))
+    due = given.filter(F.col("uses") < F.col("cap")).join(quota, ["domain", "tokens"]).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
+    counts = due.groupBy("domain", "tokens", "bucket").agg(F.count(F.lit(1)).alias("here"))
+    ahead = F.coalesce(F.sum("here").over(Window.partitionBy("domain", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = due.join(counts.withColumn("ahead", ahead), ["domain", "tokens", "bucket"])
+    # Buckets wholly within the quota need no order; only the one in which it ends is ranked.
+    whole = at.filter(F.col("ahead") + F.col("here") <= F.col("quota"))
+    last = at.filter((F.col("ahead") < F.col("quota")) & (F.col("ahead") + F.col("here") > F.col("quota")))
+    rank = F.row_number().over(Window.partitionBy("domain", "tokens", "bucket").orderBy("order", "id"))
+    last = last.withColumn("r", rank).filter(F.col("ahead") + F.col("r") <= F.col("quota"))
+    ranked = whole.select("id", "domain").unionByName(last.select("id", "domain")).withColumn("more", F.lit(1))
     more = F.coalesce("more", F.lit(0))
     return given.join(ranked, ["id", "domain"], "left").select("id", "domain", "tokens", "cap", "owed", "order", (F.col("uses") + more).alias("uses"), (F.col("given") + more).alias("given"))
 
