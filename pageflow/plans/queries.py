@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pageflow.functions import geometry as G
 from pageflow.functions import text as X
 from pageflow.functions.normalize import arrow_function
-from pageflow.operators import cells, lines, nested, overlap, pages, rebuild, state, tables
+from pageflow.functions.segments import script_runs, segments
+from pageflow.operators import cells, layout, lines, nested, overlap, pages, rebuild, state, tables, validate
 from pageflow.session import load_table
 from pageflow.sources import writers
 from pageflow.streaming import progress
@@ -402,6 +403,73 @@ def formulas_as_text(spark: SparkSession, d: str) -> DataFrame:
     return formulas.select("block_uid", arrow_function("linearize_latex")("block_content").alias("linear"), arrow_function("latex_to_unicode")("block_content").alias("unicode"))
 
 
+# ---- layout
+
+
+def _layout(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of all pages with boxes in points, repaired, sized and fitted."""
+    w, h = F.lit(595.0), F.lit(842.0)
+    base = cells.block_cells(_blocks(spark, d)).withColumn("units", F.lit("pdf"))
+    made = layout.blocks(base, w, h, w, h).select("file_id", "page_index", "block_uid", "cell_ord", "category", "content", "left", "top", "width", "height")
+    repaired = layout.repair_running_text(made, layout.body_sizes(made, h), w)
+    return layout.fitted(layout.with_fonts(layout.expand_compressed(repaired, w, h)))
+
+
+@query()
+def layout_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return layout.page_order(_layout(spark, d)).select("block_uid", "block_no", "category", "repaired", "expanded", F.round("fit_size", 2).alias("fit_size"), "fits")
+
+
+@query()
+def layout_failures(spark: SparkSession, d: str) -> DataFrame:
+    return layout.fit_failures(_layout(spark, d))
+
+
+@query()
+def layout_reflowed(spark: SparkSession, d: str) -> DataFrame:
+    return layout.reflow_pairs(_layout(spark, d)).select("block_uid", F.round("top", 2).alias("top"), F.round("height", 2).alias("height"))
+
+
+@query()
+def dense_note_pages(spark: SparkSession, d: str) -> DataFrame:
+    base = cells.block_cells(_blocks(spark, d)).withColumn("units", F.lit("pdf"))
+    return layout.dense_note_pages(layout.blocks(base, F.lit(595.0), F.lit(842.0), F.lit(595.0), F.lit(842.0)), F.lit(842.0))
+
+
+# ---- finished pages
+
+_LAST_SQL = "(SELECT * FROM (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1) QUALIFY row_number() OVER (PARTITION BY file_id, page_index ORDER BY run_no DESC, page_result_id) = 1)"
+
+
+@query(
+    f"""SELECT f.file_id, f.page_index, CASE WHEN p.file_id IS NULL THEN 'missing_image' WHEN trim({_PRIMARY}) <> '' AND NOT coalesce(p.needs_retry, false) AND NOT regexp_matches({_PRIMARY}, '(?i)^\\s*the\\s+quick\\s+brown\\s+fox\\s+jumps\\s+over\\s+the\\s+lazy\\s+dog\\.?\\s*$') THEN 'result' WHEN trim(coalesce(p.source_text, '')) = '' THEN 'blank' ELSE 'unusable_image' END AS kind
+    FROM (SELECT file_id, unnest(range(page_count)) AS page_index FROM source_files WHERE page_count > 0) f LEFT JOIN {_LAST_SQL} p ON f.file_id = p.file_id AND f.page_index = p.page_index"""
+)
+def pages_completed(spark: SparkSession, d: str) -> DataFrame:
+    return validate.completed(_files(spark, d), pages.last_run(_pages(spark, d)))
+
+
+@query("SELECT file_id, expected, actual FROM (SELECT s.file_id, s.page_count::bigint AS expected, count(DISTINCT p.page_index) AS actual FROM source_files s LEFT JOIN page_results p ON s.file_id = p.file_id WHERE s.page_count IS NOT NULL GROUP BY 1, 2) WHERE expected <> actual")
+def page_count_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    return validate.page_count_mismatches(_files(spark, d), _pages(spark, d))
+
+
+@query()
+def page_validation(spark: SparkSession, d: str) -> DataFrame:
+    return validate.failures(validate.scan(_pages(spark, d)), ["page_result_id"])
+
+
+@query()
+def inline_segments(spark: SparkSession, d: str) -> DataFrame:
+    one = lines.explode_lines(_pages(spark, d), ["page_result_id"], "md_nohf_text").filter("line <> ''")
+    return one.select("page_result_id", F.explode(segments("line")).alias("s")).groupBy("s.style").agg(F.count(F.lit(1)).alias("n_segments"))
+
+
+@query()
+def script_run_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select(F.explode(script_runs(F.col("text"))).alias("r")).groupBy("r.script").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.length("r.text")).alias("n_chars"))
+
+
 # ---- state
 
 
