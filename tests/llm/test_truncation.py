@@ -28,6 +28,7 @@ STATES = [
     ("1. wool, 12.\n2. iron, 13.", None, ""),
     ("He said “go.”", None, ""),
     ("   ", None, ""),
+    ("It was read.\u200b \ufeff", None, ""),
     ("Notes from Kelwick", "paragraph_title", "heading"),
 ]
 
