@@ -33,7 +33,7 @@ LIMIT_ROWS, LIMIT_TIMES, REACH = 8, 5, 10
 _WORD = re.compile(r"[^\W\d_]+")
 _LAST = re.compile(r"[^\W\d_]+$")
 _STOP = ".!?…。！？．"
-_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_BLANK = " \t\r\n\f\v\u00a0\u2007\u202f\u3000\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _CLOSERS = "\"'”’»)]）」』*_"
 _PAGE_NO = re.compile(r"\W*(?:(?:p|pp|s|с|стр|page|seite)\.?\s*)?(?:第?\d{1,4}(?:\s*/\s*\d{1,4})?页?|[ivxlcdm]{1,8})\W*", re.I)
 _DONE_END = re.compile(r"(?:</?[a-z][^<>]*>|\|\}|\|\||\}\}|\]\]|\|)$", re.I)
@@ -71,7 +71,7 @@ def heading_like(line: str) -> bool:
 
 def end_state(text: str, label: str | None = None) -> tuple[str, str]:
     """("" if finished, else table, sentence or heading; the final word in lower case) of a value."""
-    body = text.rstrip().rstrip(_INVISIBLE).rstrip()
+    body = text.rstrip(_BLANK)
     if not body:
         return "", ""
     for start, end in _PAIRS:
