@@ -280,7 +280,11 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return pages.status_counts(_pages(spark, d))
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT file_id, count(*) FILTER (coalesce(needs_retry, false)) AS failed, count(*) FILTER (NOT coalesce(needs_retry, false) AND {_PRIMARY} <> '') AS completed FROM page_results GROUP BY 1), s AS (SELECT CASE WHEN failed > 0 THEN 'failed' WHEN completed > 0 THEN 'completed' ELSE 'skipped' END AS s FROM c),
+    b AS (SELECT count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'failed') AS failed FROM s), t AS (SELECT *, CASE WHEN failed > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status FROM b)
+    SELECT *, sha256('{{"completed":' || completed || ',"failed":' || failed || ',"skipped":' || skipped || ',"status":"' || status || '"}}') AS checkpoint_sha256 FROM t"""
+)
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     return writers.batch_summary(pages.status_counts(_pages(spark, d)))
 
@@ -342,7 +346,12 @@ def collapsed_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.collapse_lines(_pages(spark, d), ["page_result_id"], "text").select("page_result_id", F.sha2("collapsed", 256).alias("sha256"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT trim(unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'))) AS t FROM page_results),
+    c AS (SELECT CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^(?:-{3,}|\*{3,}|_{3,})$') THEN 'rule' WHEN starts_with(t, '```') THEN 'code' WHEN regexp_matches(t, '^#(?:\s|$)') THEN 'heading1' WHEN regexp_matches(t, '^##(?:\s|$)') THEN 'heading2' WHEN regexp_matches(t, '^###(?:\s|$)') THEN 'heading3'
+    WHEN regexp_matches(t, '^####(?:\s|$)') THEN 'heading4' WHEN regexp_matches(t, '^#####(?:\s|$)') THEN 'heading5' WHEN regexp_matches(t, '^######(?:\s|$)') THEN 'heading6' WHEN regexp_matches(t, '^\[\^[^\]]+\]:') THEN 'footnote' WHEN starts_with(t, '>') THEN 'quote' WHEN regexp_matches(t, '^(?:[-*+•]|\d+[.)])\s') THEN 'list' WHEN regexp_matches(t, '^\|.*\|$') THEN 'table' ELSE 'normal' END AS line_class FROM l)
+    SELECT line_class, count(*) AS n_lines FROM c GROUP BY 1"""
+)
 def line_classes(spark: SparkSession, d: str) -> DataFrame:
     return lines.line_classes(_pages(spark, d), ["page_result_id"], "text").groupBy("line_class").agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -493,7 +502,9 @@ def files_pending(spark: SparkSession, d: str) -> DataFrame:
     return state.pending(_files(spark, d), _pages(spark, d), ["file_id"]).select("file_id")
 
 
-@query()
+@query(
+    """SELECT source, count(*) AS n_files, sha256(string_agg(e, chr(10) ORDER BY e)) AS digest FROM (SELECT source, concat_ws(chr(9), regexp_replace(regexp_replace(regexp_replace(file_path, '\\\\', '/', 'g'), '/{2,}', '/', 'g'), '^(?:\\./)+', ''), coalesce(size_bytes::varchar, ''), coalesce(sha256, '')) AS e FROM source_files) GROUP BY 1"""
+)
 def source_manifests(spark: SparkSession, d: str) -> DataFrame:
     return state.manifest(state.file_records(_files(spark, d)).join(_files(spark, d).select("file_id", "source"), "file_id"), "source")
 
@@ -520,7 +531,9 @@ def idle_gaps(spark: SparkSession, d: str) -> DataFrame:
     return progress.idle_gaps(ticks, "user_id", "ts", 86_400)
 
 
-@query()
+@query(
+    "WITH f AS (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1) SELECT file_id::varchar AS run_id, 65.0::double AS percent, count(*) AS lines FROM f GROUP BY 1"
+)
 def log_progress(spark: SparkSession, d: str) -> DataFrame:
     """The pages of a file as the log lines of its run, folded to its latest state."""
     from pyspark.sql.window import Window
