@@ -178,11 +178,14 @@ class SharedSpans:
         return raw.groupBy("h", "c1", "c2").agg(F.min("place").alias("place"))
 
     def candidates(self) -> DataFrame:
-        """(a1, a2, b1, b2, seeds): pairs of classes with an anchor in common, with its places in the first."""
+        """(a, b, seeds): pairs of classes with an anchor in common, with its places in both.
+
+        Both sides of the join read the same columns, so that Spark shuffles the
+        anchors once and uses the exchange again.
+        """
         own = self.anchor_rows()
-        a = own.select("h", F.struct("c1", "c2").alias("a"), F.col("place").alias("place"))
-        b = own.select("h", F.struct("c1", "c2").alias("b"))
-        return a.join(b, "h").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.collect_list("place").alias("seeds"))
+        a, b = (own.select("h", F.struct("c1", "c2").alias(c), F.col("place").alias(f"place_{c}")) for c in "ab")
+        return a.join(b, "h").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.collect_list(F.struct("place_a", "place_b")).alias("seeds"))
 
     def class_spans(self) -> DataFrame:
         """(a, b, field_a, start_a, field_b, start_b, span_length): maximal repeats between different classes.
@@ -193,7 +196,7 @@ class SharedSpans:
         reps = self.classes().select(F.struct("c1", "c2").alias("c"), "rep")
         pairs = self.candidates()
         pairs = pairs.join(reps.select(F.col("c").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("c").alias("b"), F.col("rep").alias("rb")), "b")
-        ends = pairs.select(F.explode(F.array(F.struct(F.col("ra").alias("id"), F.lit(0).alias("side"), "seeds"), F.struct(F.col("rb").alias("id"), F.lit(1).alias("side"), F.lit(None).cast("array<bigint>").alias("seeds")))).alias("e"), "ra", "rb").select("e.*", "ra", "rb")
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("ra").alias("id"), F.lit(0).alias("side"), "seeds"), F.struct(F.col("rb").alias("id"), F.lit(1).alias("side"), F.lit(None).cast("array<struct<place_a:bigint,place_b:bigint>>").alias("seeds")))).alias("e"), "ra", "rb").select("e.*", "ra", "rb")
         text = F.struct(*[F.col(f"f{i}") for i in range(self.n)])
         both = self.rows.select("id", text.alias("t")).join(ends, "id").groupBy("ra", "rb").agg(*[F.max(F.when(F.col("side") == s, F.col("t"))).alias(c) for s, c in ((0, "ta"), (1, "tb"))], F.max(F.when(F.col("side") == 0, F.col("seeds"))).alias("seeds"))
         k, min_len, n = self.k, self.min_len, self.n
@@ -203,7 +206,7 @@ class SharedSpans:
                 out: list[tuple] = []
                 for ra, rb, ta, tb, seeds in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     a, b = ([t[f"f{i}"] for i in range(n)] for t in (ta, tb))
-                    out += [(ra, rb, *s) for s in common_spans(a, b, seeds, k, min_len)]
+                    out += [(ra, rb, *s) for s in common_spans(a, b, [x["place_a"] for x in seeds], k, min_len)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["a", "b", "field_a", "start_a", "field_b", "start_b", "span_length"])
 
