@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,9 +17,12 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the workers of this application the package, whatever directory they run in; once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
+    """Give the workers of a local session the package, whatever directory they run in; once for each application.
+
+    A cluster gets the package as any other: on its PYTHONPATH or by --py-files.
+    """
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app in _shipped or not re.fullmatch(r"local(?:\[[\d*, ]+\])?", master):
         return
     _shipped.add(app)
     root = Path(__file__).parent
