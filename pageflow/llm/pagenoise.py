@@ -61,6 +61,8 @@ _MID_CAPITAL = re.compile(r"(?<=[^\W_] )[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W_]+")
 _ENDS_BROKEN = re.compile(rf"([^\W\d_]+)[{_MARK}][ \t\r]*$")
 _BEGINS = re.compile(r"\s*([^\W\d_]+)")
 _INLINE = re.compile(rf"(?<![^\W_])([^\W\d_]+)[{_MARK}][ \t]+([^\W\d_]+)")
+_SPACED = re.compile(rf"[{_MARK}][ \t]+[^\W\d_]")
+_NO_LETTER = re.compile(r"[\W\d_]+")
 _HALVES = frozenset("and or to und oder bis noch sowie et ou ni à и или ни до".split())
 _PAGE_NO = re.compile(r"(?:(?:pp?|s|с|стр|page|seite)\.?\s*)?(?:\d{1,3}(?:\s*/\s*\d{1,4})?)|[\[(—–-]+\s*\d{1,4}\s*[\])—–-]+|第\s*\d{1,4}\s*页|(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _INVISIBLE = {ord(c): None for c in "\u00AD\u034F\u200B\u200C\u200D\u200E\u200F\u2060\u2061\u2062\u2063\u2064\uFEFF"}
@@ -123,7 +125,7 @@ def misread_as(word: str, form: str) -> bool:
 
 def title_key(line: str) -> str:
     """A line's letters by their skeleton; digits, spaces and marks are masked."""
-    return skeleton("".join(c for c in line if c.isalpha()).lower())
+    return _NO_LETTER.sub("", line).lower().translate(_STROKES)
 
 
 def line_kinds(lines: Sequence[str], title: str | None) -> list[str]:
@@ -169,7 +171,8 @@ def running_text(lines: Sequence[str], kinds: Sequence[str], broken: Sequence[tu
         b = _BEGINS.match(kept[j])
         kept[i] = kept[i][: m.start(1)] + m[1] + b[1]
         kept[j] = kept[j][b.end(1) :]
-    return _INLINE.sub(lambda m: m[0] if m[2].lower() in _HALVES else m[1] + m[2], "\n".join(kept))
+    text = "\n".join(kept)
+    return _INLINE.sub(lambda m: m[0] if m[2].lower() in _HALVES else m[1] + m[2], text) if _SPACED.search(text) else text
 
 
 def _words(text: str) -> list[str]:
@@ -277,7 +280,7 @@ class PageNoise:
                         lang = language(words)
                         own = known[lang]
                         out += [(i, field, x, None, None) for x in {*kinds} - {""}]
-                        if broken or any(m[2].lower() not in _HALVES and (m[2][0].islower() or m[1].isupper()) and not (m[1].lower() in own and m[2].lower() in own and (m[1] + m[2]).lower() not in own) for line in lines for m in _INLINE.finditer(line)):
+                        if broken or any(m[2].lower() not in _HALVES and (m[2][0].islower() or m[1].isupper()) and not (m[1].lower() in own and m[2].lower() in own and (m[1] + m[2]).lower() not in own) for line in lines if _SPACED.search(line) for m in _INLINE.finditer(line)):
                             out.append((i, field, "hyphen", None, None))
                         out += [(i, field, "word", lang, w) for w in {*words} - own if len(w) > 2]
                 if out:
