@@ -64,7 +64,7 @@ _INLINE = re.compile(rf"(?<![^\W_])([^\W\d_]+)[{_MARK}][ \t]+([^\W\d_]+)")
 _SPACED = re.compile(rf"[{_MARK}][ \t]+[^\W\d_]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _HALVES = frozenset("and or to und oder bis noch sowie et ou ni à и или ни до".split())
-_PAGE_NO = re.compile(r"(?:(?:pp?|s|с|стр|page|seite)\.?\s*)?(?:\d{1,3}(?:\s*/\s*\d{1,4})?)|[\[(—–-]+\s*\d{1,4}\s*[\])—–-]+|第\s*\d{1,4}\s*页|(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
+_PAGE_NO = re.compile(r"(?:(?:pp?|s|с|стр|page|seite)\.?\s*)?(?:\d{1,3}(?:\s*/\s*\d{1,4})?)|[\[(—–-]+\s*\d{1,4}\s*[\])—–-]+|第\s*\d{1,4}\s*页|(?-i:(?=[ivxl])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))", re.I)
 _INVISIBLE = {ord(c): None for c in "\u00AD\u034F\u200B\u200C\u200D\u200E\u200F\u2060\u2061\u2062\u2063\u2064\uFEFF"}
 _SPACES = {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
 _TO_LATIN = {ord(x[0]): x[1] for x in (CYRILLIC_AS_LATIN + " " + GREEK_AS_LATIN).split()}

@@ -70,6 +70,6 @@ def test_names_are_left_alone(spark):
 
 
 def test_lines():
-    assert line_kinds(["1 2", "[12]", "1830", "3.", "46 / 257", "第13页", "IV", "12 men", ""], None) == ["", "page_no", "", "", "page_no", "page_no", "page_no", "", ""]
+    assert line_kinds(["1 2", "[12]", "1830", "3.", "46 / 257", "第13页", "iv", "IV", "mix", "12 men", ""], None) == ["", "page_no", "", "", "page_no", "page_no", "page_no", "", "", "", ""]
     assert broken_words(["well-", "known"], ["", ""]) == [(0, 1, "wellknown")]
     assert broken_words(["pre-", "and post"], ["", ""]) == []
