@@ -82,7 +82,14 @@ _ADDRESSES = [
         ("zh", r"(?:[㐀-鿿]{2}[市县镇区乡村])?[㐀-鿿]{2,3}[路街巷道]\d{1,4}号(?:\d+室)?"),
     )
 ]
-_ADDRESS_HINT = re.compile(rf"\d[\w\s,.–/-]{{0,12}}\s[A-Z][^\n]{{0,40}}?{_STREET_EN}|{_STREET_DE}\s\d|{_STREET_FR}\s|ул|пр\.|пер\.|пл\.|наб|д\.\s?\d|дом\s\d|[路街巷道]\d")
+# What a text must hold for a pattern to be tried; a plain search is far cheaper than the pattern.
+_ADDRESS_HINTS = {
+    "en": ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Row", "Square", "Sq", "Drive", "Court", "Terrace", "Close", "Place", "Way", "Hill", "Crescent", "Boulevard", "Blvd"),
+    "de": ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "ring", "ufer", "damm", "markt", "hof", "steig", "Straße", "Weg", "Platz", "Gasse", "Allee"),
+    "fr": ("rue", "avenue", "quai", "place", "boulevard", "chemin", "impasse", "allée", "route", "cours", "passage", "ruelle", "square"),
+    "ru": ("ул", "пр", "пер", "пл", "наб", "бул", "ш."),
+    "zh": ("号",),
+}
 
 # Words around the segments, by what they tell.
 _CUES = {
@@ -170,6 +177,9 @@ class Finder:
                 yield Segment(x, y, "name", ("n", f"n:{sig}", f"n:{sig}:{ambiguous}", f"n<{cue}", f"n<{cue}:{'one' if ' ' not in sig else 'more'}", f"n<<{far}", f"n<{mark}", f"n>{after}", f"n>{after}:{'one' if ' ' not in sig else 'more'}", f"n|{rest}"))
 
     def _emails(self, text: str) -> Iterator[Segment]:
+        low = text.lower()
+        if "@" not in text and not any(h in low for h in ("at)", "at]", "at}", "at>", "at )", "at ]", "at\n", "dot")):
+            return
         for m in _AT.finditer(text):
             low = max(0, m.start() - 72)
             a = None
@@ -192,9 +202,10 @@ class Finder:
                     yield Segment(s, e, kind, (k, f"{k}:{name}", f"{k}<{cue}", f"{k}<<{far}", f"{k}<{mark}", f"{k}:{name}<{cue}", f"{k}:{name}:{sum(c.isdigit() for c in text[s:e])}", f"{k}#{groups}"))
 
     def _addresses(self, text: str) -> Iterator[Segment]:
-        if not _ADDRESS_HINT.search(text):
-            return
+        ascii_only = text.isascii()
         for name, pattern in _ADDRESSES:
+            if ascii_only and name in ("ru", "zh") or not any(h in text for h in _ADDRESS_HINTS[name]):
+                continue
             for m in pattern.finditer(text):
                 mark, cue, _ = _left(text, m.start())
                 features = ("a", f"a:{name}", f"a<{cue}", f"a<{mark}")
