@@ -27,7 +27,8 @@ def area(b: Column) -> Column:
 def intersection_area(a: Column, b: Column) -> Column:
     w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
     h = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
-    return F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
+    # greatest and least pass over nulls, so a missing box must be told apart.
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h))
 
 
 def overlap_ratio(source: Column, target: Column) -> Column:

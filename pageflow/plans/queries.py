@@ -11,7 +11,7 @@ from pageflow.functions import geometry as G
 from pageflow.functions import text as X
 from pageflow.functions.normalize import arrow_function
 from pageflow.functions.segments import script_runs, segments
-from pageflow.operators import cells, layout, lines, nested, overlap, pages, rebuild, state, tables, validate
+from pageflow.operators import blocktext, cells, layout, lines, nested, overlap, pages, rebuild, state, tables, validate
 from pageflow.session import load_table
 from pageflow.sources import writers
 from pageflow.streaming import progress
@@ -63,6 +63,13 @@ def _p7_table(tag: str) -> Query:
 for _tag in nested.TABLE_SCHEMAS:
     QUERIES[f"p7_{_tag}"] = _p7_table(_tag)
 
+
+
+@query()
+def record_cells(spark: SparkSession, d: str) -> DataFrame:
+    return blocktext.record_cells(load_table(spark, d, "middle_json")).select("record_id", "page_index", "container", "category", "cell_path", F.sha2("content", 256).alias("sha256"))
+
+
 # ---- cells
 
 _CATEGORY_SQL = "CASE WHEN {c} IS NULL OR trim({c}) = '' THEN 'Text' ELSE coalesce(map_extract(MAP {{" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(cells.CATEGORIES.items())) + "}}, lower(trim({c})))[1], {c}) END"
