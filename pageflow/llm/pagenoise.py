@@ -58,7 +58,7 @@ _STROKES = str.maketrans(
 _MARK = "-\u00AC=\u2010\u2011\u00AD\u2E17"
 _WORD = re.compile(r"(?<![^\W_])[!|]?[^\W_]+(?:[!|][^\W_]+)*(?:[!|](?=[^\W_]))?")
 _MID_CAPITAL = re.compile(r"(?<=[^\W_] )[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W_]+")
-_ENDS_BROKEN = re.compile(rf"([^\W\d_]+)[{_MARK}][ \t\r]*$")
+_ENDS_BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)[{_MARK}][ \t\r]*$")
 _BEGINS = re.compile(r"\s*([^\W\d_]+)")
 _INLINE = re.compile(rf"(?<![^\W_])([^\W\d_]+)[{_MARK}][ \t]+([^\W\d_]+)")
 _SPACED = re.compile(rf"[{_MARK}][ \t]+[^\W\d_]")

@@ -31,7 +31,7 @@ MIN_COUNT = 3
 #: A length is a limit if so many values end there unfinished, and so many times as many as at the lengths within REACH.
 LIMIT_ROWS, LIMIT_TIMES, REACH = 8, 5, 10
 _WORD = re.compile(r"[^\W\d_]+")
-_LAST = re.compile(r"[^\W\d_]+$")
+_LAST = re.compile(r"(?<![^\W\d_])[^\W\d_]+$")
 _STOP = ".!?…。！？．"
 _BLANK = " \t\r\n\f\v\u00a0\u2007\u202f\u3000\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _CLOSERS = "\"'”’»)]）」』*_"
