@@ -31,6 +31,8 @@ _FIELD_BITS = 40
 _MASK = (1 << _FIELD_BITS) - 1
 #: Beyond so many pairs of places of one anchor a pair is compared by all its grams instead.
 MAX_PLACES = 4096
+#: A class of more copies is expanded in parts of about so many.
+COPIES = 1000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -212,13 +214,24 @@ class SharedSpans:
 
         return both.select("ra", "rb", "ta", "tb", "seeds").mapInArrow(run, "a bigint, b bigint, field_a int, start_a int, field_b int, start_b int, span_length int")
 
+    def _members_of(self, df: DataFrame, key: str, out: str) -> DataFrame:
+        """*df* with one row for each member of the class *key*, as *out*.
+
+        A class of many copies is cut into salted parts, so that what is made
+        of it is spread over tasks.
+        """
+        parts = F.ceil(F.col("n") / COPIES).cast("int")
+        classes = self.classes().withColumn("parts", parts)
+        members = self.members.join(classes, ["c1", "c2"]).select(F.col("rep").alias("_rep"), F.col("id").alias(out), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("_part"))
+        sizes = classes.select(F.col("rep").alias("_rep"), "parts")
+        left = df.withColumn("_rep", F.col(key)).join(sizes, "_rep").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return left.join(members, ["_rep", "_part"]).drop("_rep", "_part")
+
     def pairs(self) -> DataFrame:
         """(id_a, id_b): all pairs of records that share a span, copies included."""
-        with_class = self.members.join(self.classes(), ["c1", "c2"]).select("rep", "id")
-        linked = self.class_spans().select("a", "b").distinct()
-        across = linked.join(with_class.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(with_class.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-        copies = self.members.join(self.classes().filter("n > 1").select("c1", "c2", "rep"), ["c1", "c2"]).select("rep", "id")
-        within = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
+        across = self._members_of(self._members_of(self.class_spans().select("a", "b").distinct(), "a", "x"), "b", "y").select("x", "y")
+        copied = self.classes().filter("n > 1").select(F.col("rep").alias("a"))
+        within = self._members_of(self._members_of(copied, "a", "x"), "a", "y").filter("x < y").select("x", "y")
         return across.union(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def shared_by_record(self) -> DataFrame:

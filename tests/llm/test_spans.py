@@ -64,5 +64,13 @@ def test_periodic_text_is_finite(spark):
     assert {r.id: r.n_shared for r in shared.shared_by_record().collect()} == {1: 5000, 2: 300}
 
 
+def test_many_copies_are_expanded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(spans, "COPIES", 7)
+    s = words(random.Random(9), 250)
+    rows = [(i, s, None) for i in range(40)] + [(100 + i, "x" + s, "y") for i in range(30)] + [(200, "short", None)]
+    got = [tuple(r) for r in spans.SharedSpans(frame(spark, rows), "page_result_id", ["text", "source_text"]).pairs().collect()]
+    assert len(got) == 70 * 69 // 2 == len(set(got))
+
+
 def test_empty_table(spark):
     assert spans.SharedSpans(frame(spark, []), "page_result_id", ["text", "source_text"]).pairs().count() == 0
