@@ -127,20 +127,18 @@ def field_limits(state: DataFrame) -> DataFrame:
 def judged(values: DataFrame) -> DataFrame:
     """(tbl, row_id, source, cut): every non-empty value with the verdict."""
     state = ends(values)
-    # Only the heads' final words need the trie; sentences and tables are cut whatever their last word is.
-    finished = state.filter("state = ''").select("tbl", "row_id", "source", F.lit(False).alias("cut"))
-    broken = state.filter("state in ('sentence', 'table')").select("tbl", "row_id", "source", F.lit(True).alias("cut"))
-    vocabulary = count_words(values, ["text"], known_words).filter(F.col("n") >= MIN_COUNT)
+    # Only headings need the trie; sentences and tables are cut whatever their last word is.
+    plain = state.filter("state <> 'heading'").select("tbl", "row_id", "source", (F.col("state") != "").alias("cut"))
     heads = state.filter("state = 'heading'")
-    nodes = trie_nodes(vocabulary).withColumnRenamed("prefix", "word")
+    nodes = trie_nodes(count_words(values, ["text"], known_words).filter(F.col("n") >= MIN_COUNT)).withColumnRenamed("prefix", "word")
     limits = field_limits(state).withColumn("limit", F.lit(True))
+    rest_of_word = ~F.coalesce("known", F.lit(False)) & (F.coalesce("below", F.lit(0)) > 0)
     checked = (
-        heads.join(vocabulary.select("word", F.lit(True).alias("known")), "word", "left")
-        .join(nodes.select("word", "below"), "word", "left")
+        heads.join(nodes, "word", "left")
         .join(limits, (heads.tbl == limits.tbl) & heads.source.eqNullSafe(limits.source) & (heads.chars == limits.chars), "left")
-        .select(heads.tbl, heads.row_id, heads.source, (F.col("known").isNull() & F.col("below").isNotNull() | F.col("limit").isNotNull()).alias("cut"))
+        .select(heads.tbl, heads.row_id, heads.source, (rest_of_word | F.col("limit").isNotNull()).alias("cut"))
     )
-    return finished.unionByName(broken).unionByName(checked)
+    return plain.unionByName(checked)
 
 
 def rates(values: DataFrame) -> DataFrame:

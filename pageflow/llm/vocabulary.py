@@ -28,6 +28,6 @@ def count_words(df: DataFrame, columns: Sequence[str], words: Callable[..., list
 
 
 def trie_nodes(vocabulary: DataFrame) -> DataFrame:
-    """(prefix, below): the inner nodes of the vocabulary's trie, with the number of words below each."""
-    lengths = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
-    return vocabulary.filter(F.length("word") > 1).select("word", lengths.alias("k")).select(F.expr("substring(word, 1, k)").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("below"))
+    """(prefix, known, below): the nodes of the vocabulary's trie, whether each is a word, and the number of longer words below it."""
+    nodes = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k")).select(F.expr("substring(word, 1, k)").alias("prefix"), (F.col("k") == F.length("word")).alias("whole"))
+    return nodes.groupBy("prefix").agg(F.max("whole").alias("known"), F.count_if(~F.col("whole")).alias("below"))
