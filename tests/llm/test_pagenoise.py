@@ -73,3 +73,19 @@ def test_lines():
     assert line_kinds(["1 2", "[12]", "1830", "3.", "46 / 257", "第13页", "iv", "IV", "mix", "12 men", ""], None) == ["", "page_no", "", "", "page_no", "page_no", "page_no", "", "", "", ""]
     assert broken_words(["well-", "known"], ["", ""]) == [(0, 1, "wellknown")]
     assert broken_words(["pre-", "and post"], ["", ""]) == []
+
+
+def noise_of(spark, texts):
+    rows = [(i, 7, t, None, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_result_id bigint, file_id bigint, text string, md_nohf_text string, fallback_text string")
+    return PageNoise(df, spark.createDataFrame([], "file_id bigint, title string"), "page_result_id", ["text", "md_nohf_text", "fallback_text"])
+
+
+def test_misreadings_in_both_directions(spark):
+    pairs = [("lantern", "lantem"), ("private", "pnvate"), ("enclosed", "endosed"), ("which", "wliich"), ("committee", "cornmittee")]
+    assert all(misread_as(word, form) for word, form in pairs)
+    assert not misread_as("leads", "reads") and not misread_as("the", "file")
+    texts = [f"The {w} {i} of the {w} and the {w} was seen." for w, _ in pairs for i in range(8)] + [f"The {f} of the survey was seen." for _, f in pairs]
+    noise = noise_of(spark, texts)
+    assert {(r.word, r.repair) for r in noise.forms.collect()} == {(f, w) for w, f in pairs}
+    assert {tuple(r) for r in noise.found().collect()} == {(40 + i, "text", "misread") for i in range(len(pairs))}
