@@ -66,7 +66,10 @@ _INLINE = re.compile(rf"(?<![^\W_])([^\W\d_]+)[{_MARK}][ \t]+([^\W\d_]+)")
 _SPACED = re.compile(rf"[{_MARK}][ \t]+[^\W\d_]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _HALVES = frozenset("and or to und oder bis noch sowie et ou ni à и или ни до".split())
-_PAGE_NO = re.compile(r"(?:(?:pp?|s|с|стр|page|seite)\.?\s*)?(?:\d{1,3}(?:\s*/\s*\d{1,4})?)|[\[(—–-]+\s*\d{1,4}\s*[\])—–-]+|第\s*\d{1,4}\s*页|(?-i:(?=[ivxl])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))", re.I)
+# Small Roman numerals to 999; "di" and "dix" are words, "cm" a unit, and numerals with m at their head are years.
+_ROMAN = r"(?-i:(?=[ivxl]|[cd][ivxlcdm])(?!(?:di|dix|cm)\Z)(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
+# A number of four digits may be a year, unless a page word, a total or marks stand with it.
+_PAGE_NO = re.compile(r"(?:(?:pp?|s|с|стр|page|seite)\.?\s*)?(?:\d{1,3}(?:\s*/\s*\d{1,4})?)|(?:pp?\.?|[sс]\.|стр\.?|page|seite)\s*\d{4}(?:\s*/\s*\d{1,4})?|\d{4}\s+/\s+\d{4}|[\[(—–-]+\s*\d{1,4}\s*[\])—–-]+|第\s*\d{1,4}\s*页|" + _ROMAN, re.I)
 _INVISIBLE = {ord(c): None for c in "\u00AD\u034F\u200B\u200C\u200D\u200E\u200F\u2060\u2061\u2062\u2063\u2064\uFEFF"}
 _SPACES = {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
 _TO_LATIN = {ord(x[0]): x[1] for x in (CYRILLIC_AS_LATIN + " " + GREEK_AS_LATIN).split()}
@@ -138,7 +141,7 @@ def line_kinds(lines: Sequence[str], title: str | None) -> list[str]:
     for line in lines:
         s = line.strip()
         kind = ""
-        if s and len(s) <= 16 and _PAGE_NO.fullmatch(s):
+        if s and len(s) <= 24 and _PAGE_NO.fullmatch(s):
             kind = "page_no"
         elif size and s and size <= len(s) <= 5 * size + 24 and s[0] != "#":
             bare = re.sub(r"\{\{[^{}]*\}\}|</?[a-z][^<>]*>", "", s, flags=re.I) if "{" in s or "<" in s else s

@@ -89,3 +89,12 @@ def test_misreadings_in_both_directions(spark):
     noise = noise_of(spark, texts)
     assert {(r.word, r.repair) for r in noise.forms.collect()} == {(f, w) for w, f in pairs}
     assert {tuple(r) for r in noise.found().collect()} == {(40 + i, "text", "misread") for i in range(len(pairs))}
+
+
+def test_large_page_numbers():
+    pages = ["cxiii", "cix", "cc", "cdxii", "dxc", "p. 1234", "S. 1018 / 1200", "Seite 1018 / 1200", "page 1830", "с. 1204", "1234 / 2000", "[1018]", "vi"]
+    assert line_kinds(pages, None) == ["page_no"] * len(pages)
+    others = ["c", "d", "m", "di", "dix", "mi", "mix", "cm", "civil", "mdcccxxx", "CXIII", "iiii", "cccc", "1830", "1830/1831", "s 1830", "с 1830"]
+    assert line_kinds(others, None) == [""] * len(others)
+    lines = ["the sta-", "cxiii", "tion"]
+    assert broken_words(lines, line_kinds(lines, None)) == [(0, 2, "station")]
