@@ -9,7 +9,7 @@ line end goes on in the next line that is neither header nor page number; one
 broken by a hyphen and a space is joined where the corpus knows the whole word
 or doesn't know the halves.
 
-*Misread characters.*  The words of all values are counted for each language and
+*Misread characters.*  The words of all distinct values are counted for each language and
 grouped by a skeleton in which confusable glyphs are equal (characters are
 reduced to their strokes).  A form is misread if a far more frequent word with
 its skeleton, supported in the same language, becomes it by known misreadings,
@@ -199,22 +199,23 @@ def with_titles(df: DataFrame, files: DataFrame, id_col: str, fields: Sequence[s
 
 
 def word_counts(values: DataFrame, n_fields: int) -> DataFrame:
-    """(lang, word, n, mid): lower-case words of all values, and how often each has a capital inside a sentence."""
+    """(lang, word, n, mid): lower-case words of all distinct values, and how often each has a capital inside a sentence.
+
+    A text is counted once, however many rows and fields carry it: a form that
+    is read wrongly in one text with many copies is no frequent word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: dict[str, Counter[str]] = defaultdict(Counter)
             mid: dict[str, Counter[str]] = defaultdict(Counter)
-            for c in batch.columns:
-                for text in c.to_pylist():
-                    if not text:
-                        continue
-                    flat = plain(text)
-                    flat = re.sub(rf"[{_MARK}]\s*\n\s*", "", flat) if "\n" in flat else flat
-                    words = _words(flat.lower())
-                    lang = language(words)
-                    total[lang].update(words)
-                    mid[lang].update(_MID_CAPITAL.findall(flat))
+            for text in batch.column(0).to_pylist():
+                flat = plain(text)
+                flat = re.sub(rf"[{_MARK}]\s*\n\s*", "", flat) if "\n" in flat else flat
+                words = _words(flat.lower())
+                lang = language(words)
+                total[lang].update(words)
+                mid[lang].update(_MID_CAPITAL.findall(flat))
             for lang, counts in total.items():
                 capitals: Counter[str] = Counter()
                 for w, n in mid[lang].items():
@@ -222,7 +223,8 @@ def word_counts(values: DataFrame, n_fields: int) -> DataFrame:
                 words = list(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([capitals[w] for w in words], pa.int64())], names=["lang", "word", "n", "mid"])
 
-    return values.select(*[f"t{i}" for i in range(n_fields)]).mapInArrow(run, "lang string, word string, n bigint, mid bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("mid").alias("mid"))
+    texts = values.select(F.explode(F.array(*[f"t{i}" for i in range(n_fields)])).alias("t")).filter("t <> ''").distinct()
+    return texts.mapInArrow(run, "lang string, word string, n bigint, mid bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("mid").alias("mid"))
 
 
 def misread_forms(counts: DataFrame) -> DataFrame:

@@ -98,3 +98,10 @@ def test_large_page_numbers():
     assert line_kinds(others, None) == [""] * len(others)
     lines = ["the sta-", "cxiii", "tion"]
     assert broken_words(lines, line_kinds(lines, None)) == [(0, 2, "station")]
+
+
+def test_copies_of_a_misread_text(spark):
+    texts = [f"The lantern {i} of the council was seen and kept." for i in range(8)] + ["The lantem of the council was seen and kept."] * 12
+    noise = noise_of(spark, texts)
+    assert {(r.word, r.repair) for r in noise.forms.collect()} == {("lantem", "lantern")}
+    assert {tuple(r) for r in noise.found().collect()} == {(8 + i, "text", "misread") for i in range(12)}
