@@ -44,7 +44,7 @@ from pageflow.session import checkpointed
 SUPPORT, TIMES = 5, 8
 #: A word with at least this share of capitals inside sentences is a name.
 NAME_SHARE = 0.6
-#: So many known words, by frequency, are sent to the workers, so that only the others are shuffled.  A bound, not a filter of results.
+#: So many known words, by frequency, are sent to the workers, so that only the others are shuffled and joined.  A bound, not a filter of results.
 KNOWN_WORDS = 50_000
 #: Lines between the halves of a broken word.
 BETWEEN = 6
@@ -251,9 +251,15 @@ def misread_forms(counts: DataFrame) -> DataFrame:
     return best.groupBy("lang", "word").agg(F.min(F.struct((-F.col("support")).alias("s"), "repair")).alias("b")).select("lang", "word", F.col("b.repair").alias("repair"))
 
 
-def _known(counts: DataFrame, forms: DataFrame) -> frozenset[tuple[str, str]]:
-    known = counts.join(forms.select("lang", "word"), ["lang", "word"], "left_anti").filter(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "lang", "word").limit(KNOWN_WORDS).select("lang", "word")
-    return frozenset((r.lang, r.word) for r in known.collect())
+def _known(counts: DataFrame, forms: DataFrame) -> tuple[frozenset[tuple[str, str]], DataFrame]:
+    """The most frequent known words as (lang, word), and the known words beyond them."""
+    known = counts.join(forms.select("lang", "word"), ["lang", "word"], "left_anti").filter(F.col("n") >= SUPPORT)
+    top = known.orderBy(F.desc("n"), "lang", "word").limit(KNOWN_WORDS).select("lang", "word", "n").collect()
+    after = F.lit(False)
+    if len(top) == KNOWN_WORDS:
+        last = max(top, key=lambda r: (-r.n, r.lang.encode(), r.word.encode()))
+        after = (F.col("n") < last.n) | ((F.col("n") == last.n) & ((F.col("lang") > last.lang) | ((F.col("lang") == last.lang) & (F.col("word") > last.word))))
+    return frozenset((r.lang, r.word) for r in top), known.filter(after).select("lang", "word")
 
 
 class PageNoise:
@@ -265,10 +271,15 @@ class PageNoise:
         counts = df.select(*[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(fields)])
         self.counts = checkpointed(word_counts(counts, len(fields)))
         self.forms = checkpointed(misread_forms(self.counts))
-        self.known = df.sparkSession.sparkContext.broadcast(_known(self.counts, self.forms))
+        top, self.rarer = _known(self.counts, self.forms)
+        self.known = df.sparkSession.sparkContext.broadcast(top)
 
     def events(self) -> DataFrame:
-        """(id, field, kind, lang, word): kinds found by line, and the words that may be misread (kind ``word``)."""
+        """(id, field, kind, lang, word, at): kinds found by line, and the words that may be misread (kind ``word``).
+
+        An inline break that the words at hand don't settle is a number ``at``
+        with its whole word and those halves that may be unknown.
+        """
         fields, sent = self.fields, self.known
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,19 +297,30 @@ class PageNoise:
                         words = _words(flat.lower())
                         lang = language(words)
                         own = known[lang]
-                        out += [(i, field, x, None, None) for x in {*kinds} - {""}]
-                        if broken or any(m[2].lower() not in _HALVES and (m[2][0].islower() or m[1].isupper()) and not (m[1].lower() in own and m[2].lower() in own and (m[1] + m[2]).lower() not in own) for line in lines if _SPACED.search(line) for m in _INLINE.finditer(line)):
-                            out.append((i, field, "hyphen", None, None))
-                        out += [(i, field, "word", lang, w) for w in {*words} - own if len(w) > 2]
+                        out += [(i, field, x, None, None, None) for x in {*kinds} - {""}]
+                        inline = {(m[1].lower(), m[2].lower()) for line in lines if _SPACED.search(line) for m in _INLINE.finditer(line) if m[2].lower() not in _HALVES and (m[2][0].islower() or m[1].isupper())}
+                        if broken or any(a + b in own for a, b in inline):
+                            out.append((i, field, "hyphen", None, None, None))
+                        else:
+                            for n, (a, b) in enumerate(sorted(inline)):
+                                out.append((i, field, "whole", lang, a + b, n))
+                                out += [(i, field, "half", lang, x, n) for x in {a, b} - own]
+                        out += [(i, field, "word", lang, w, None) for w in {*words} - own if len(w) > 2]
                 if out:
                     c = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *[pa.array(x, pa.string()) for x in c[1:]]], names=["id", "field", "kind", "lang", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *[pa.array(x, pa.string()) for x in c[1:5]], pa.array(c[5], pa.int32())], names=["id", "field", "kind", "lang", "word", "at"])
 
-        return self.values.mapInArrow(run, "id bigint, field string, kind string, lang string, word string")
+        return self.values.mapInArrow(run, "id bigint, field string, kind string, lang string, word string, at int")
 
     def found(self) -> DataFrame:
         """(id, field, kind) with the kinds hyphen, misread, header and page_no."""
-        return self.events().join(self.forms, ["lang", "word"], "left").filter((F.col("kind") != "word") | F.col("repair").isNotNull()).select("id", "field", F.when(F.col("kind") == "word", "misread").otherwise(F.col("kind")).alias("kind")).distinct()
+        judged = self.forms.select("lang", "word", "repair").unionByName(self.rarer.withColumn("repair", F.lit(None).cast("string"))).withColumn("judged", F.lit(True))
+        events = self.events().join(judged, ["lang", "word"], "left").filter((F.col("kind") != "word") | F.col("repair").isNotNull())
+        # A rarer word is known if it is judged and no misread form.
+        known = F.col("judged").isNotNull() & F.col("repair").isNull()
+        kind = F.when(F.col("kind") == "word", "misread").when(F.col("kind").isin("half", "whole"), "hyphen").otherwise(F.col("kind"))
+        kinds = events.groupBy("id", "field", kind.alias("kind"), "at").agg(F.bool_or((F.col("kind") == "whole") & known).alias("joined"), F.bool_or((F.col("kind") == "half") & ~known).alias("odd"))
+        return kinds.filter(F.col("at").isNull() | F.col("joined") | F.col("odd")).select("id", "field", "kind").distinct()
 
     def repaired(self) -> DataFrame:
         """(id, field, repaired): continuous paragraphs without headers and page numbers, broken and misread words made good.

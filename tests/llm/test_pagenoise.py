@@ -105,3 +105,12 @@ def test_copies_of_a_misread_text(spark):
     noise = noise_of(spark, texts)
     assert {(r.word, r.repair) for r in noise.forms.collect()} == {("lantem", "lantern")}
     assert {tuple(r) for r in noise.found().collect()} == {(8 + i, "text", "misread") for i in range(12)}
+
+
+def test_the_bound_of_known_words_decides_nothing(spark, monkeypatch):
+    texts = [f"The hafen {i} and the meister of the council, the hafenmeister and the upper river." for i in range(6)]
+    texts += ["The hafen- meister of the council.", "The upper- river of the council.", "The upper- moor of the council.", "The hafen- meister and upper- river council."]
+    want = {(6, "text", "hyphen"), (8, "text", "hyphen"), (9, "text", "hyphen")}
+    for bound in (50_000, 7, 4, 1):
+        monkeypatch.setattr(pagenoise, "KNOWN_WORDS", bound)
+        assert {tuple(r) for r in noise_of(spark, texts).found().collect()} == want, bound
