@@ -46,8 +46,6 @@ SUPPORT, TIMES = 5, 8
 NAME_SHARE = 0.6
 #: So many known words, by frequency, are sent to the workers, so that only the others are shuffled and joined.  A bound, not a filter of results.
 KNOWN_WORDS = 50_000
-#: Lines between the halves of a broken word.
-BETWEEN = 6
 
 # What a recogniser writes for what, in order of frequency.
 MISREADINGS = "e>c c>e t>f f>t i>! n>ri l>1 i>1 d>cl o>0 s>5 u>ii m>rn g>9 h>b b>6 w>vv in>m y>v li>h о>0 и>н й>и л>д з>3 б>6 ш>щ п>н н>и"
@@ -154,17 +152,19 @@ def line_kinds(lines: Sequence[str], title: str | None) -> list[str]:
 def broken_words(lines: Sequence[str], kinds: Sequence[str]) -> list[tuple[int, int, str]]:
     """(line of the first half, line of the second, whole word) of the words broken at line ends."""
     out = []
+    after = [0] * len(lines)  # the next line of running text
+    j = len(lines)
+    for i in reversed(range(len(lines))):
+        after[i] = j
+        if not kinds[i] and lines[i].strip():
+            j = i
     for i, line in enumerate(lines):
         s = line.rstrip()
-        if not s or s[-1] not in _MARK or not (m := _ENDS_BROKEN.search(s)):
+        if not s or s[-1] not in _MARK or after[i] == len(lines) or not (m := _ENDS_BROKEN.search(s)):
             continue
-        for j in range(i + 1, min(i + 1 + BETWEEN, len(lines))):
-            if kinds[j] or not lines[j].strip():
-                continue
-            b = _BEGINS.match(lines[j])
-            if b and b[1][0].islower() and not (s[-1] == "-" and b[1] in _HALVES) and not re.search("[㐀-鿿]", m[1]):
-                out.append((i, j, m[1] + b[1]))
-            break
+        b = _BEGINS.match(lines[after[i]])
+        if b and b[1][0].islower() and not (s[-1] == "-" and b[1] in _HALVES) and not re.search("[㐀-鿿]", m[1]):
+            out.append((i, after[i], m[1] + b[1]))
     return out
 
 

@@ -114,3 +114,11 @@ def test_the_bound_of_known_words_decides_nothing(spark, monkeypatch):
     for bound in (50_000, 7, 4, 1):
         monkeypatch.setattr(pagenoise, "KNOWN_WORDS", bound)
         assert {tuple(r) for r in noise_of(spark, texts).found().collect()} == want, bound
+
+
+def test_many_lines_between_the_halves():
+    lines = ["the sta-", *[""] * 9, "12", "", "tion of"]
+    assert broken_words(lines, line_kinds(lines, None)) == [(0, 12, "station")]
+    assert broken_words(["the sta-", "", "A caption.", "tion"], [""] * 4) == []
+    lines = ["a-", ""] * 20_000
+    assert len(broken_words(lines, [""] * len(lines))) == 19_999
