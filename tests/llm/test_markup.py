@@ -69,3 +69,15 @@ def test_boosting_learns_an_interaction():
     model = boosting.fit(x, y, 2, rounds=10)
     assert (model.scores(x).argmax(axis=1) == y).all()
     assert np.allclose(np.exp(model.scores(x)).sum(axis=1), 1)
+
+
+def test_no_bound_of_depth_or_length(judge):
+    deep = "{|\n" * 60 + "<b>a</b>"
+    assert judge.kinds(deep) == {"wiki", "html"}
+    judge.clean("{|\n" * 1500 + "<b>a</b>")
+    assert judge.kinds("the sum $" + "x^2 + y_1 + " * 30 + "z$ holds") == {"latex"}
+    assert judge.kinds("from $4 to " + "so many words and " * 20 + "$60 a year") == set()
+    assert judge.kinds('the <a class="b"\n href="c">word</a\n> here') == {"html"}
+    assert judge.kinds('<span class="b"\n id="c">') == {"html"}
+    assert judge.kinds('see [a](b.md "A title").') == judge.kinds("see [a](my leaf.md).") == judge.kinds("see [a](b_(c).md).") == {"markdown"}
+    assert judge.kinds("here [illegible] (see leaf 4).") == set()
