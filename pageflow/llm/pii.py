@@ -8,8 +8,8 @@ and a dynamic programme chooses boundaries and types together.
 The weights are trained on generated sentences in five languages
 (``training_examples``), whose number is bounded by ``TRAINING`` and doesn't
 depend on the data.  What the corpus gives is its common words: those that
-occur in lower case, which tell a name from a heading; the most frequent
-``COMMON_WORDS`` are sent to the workers.
+occur in lower case, which tell a name from a heading; those that also stand in
+a candidate for a name are sent to the workers, as no other is asked for.
 
 Defined results of odd input: null and empty texts have no occurrences; names
 need at least one part from the list; of overlapping readings the best choice as
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +31,10 @@ from pyspark.sql import functions as F
 
 from pageflow.llm import semicrf
 from pageflow.llm.semicrf import Segment
-from pageflow.llm.vocabulary import count_words
 
 TRAINING = 1500
-#: Common words sent to the workers, a bound on the broadcast.
-COMMON_WORDS, COMMON_COUNT = 50_000, 3
+#: A word is common if it occurs in lower case so many times.
+COMMON_COUNT = 3
 
 _CAP = re.compile(r"(?<![\w@.+])[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?(?![\w@])")
 _BEFORE_NAME = re.compile(r"(?:(?<![\w.@+-])([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?)\s(?:([A-ZÀ-ÖØ-Þ])\.\s)?|(?<![\w.@+-])([A-ZÀ-ÖØ-Þ])\.\s)$")
@@ -176,6 +176,10 @@ class Finder:
                 ambiguous = "amb" if any(w.lower() in self.common for w in _WORD.findall(text[x:y])) else "sure"
                 yield Segment(x, y, "name", ("n", f"n:{sig}", f"n:{sig}:{ambiguous}", f"n<{cue}", f"n<{cue}:{'one' if ' ' not in sig else 'more'}", f"n<<{far}", f"n<{mark}", f"n>{after}", f"n>{after}:{'one' if ' ' not in sig else 'more'}", f"n|{rest}"))
 
+    def name_words(self, text: str) -> set[str]:
+        """The lower-case words of the candidates for names: those that may be asked for among the common words."""
+        return {w.lower() for x in self._names(text) for w in _WORD.findall(text[x.start : x.end])}
+
     def _emails(self, text: str) -> Iterator[Segment]:
         low = text.lower()
         if "@" not in text and not any(h in low for h in ("at)", "at]", "at}", "at>", "at )", "at ]", "at\n", "dot")):
@@ -394,10 +398,28 @@ def _parts(df: DataFrame) -> DataFrame:
     return df.select(F.lower(F.trim("name_part")).alias("part"), F.lower("part_kind").alias("kind")).filter("part <> ''").distinct()
 
 
+def common_words(documents: DataFrame, lexicon: Finder, text_col: str) -> DataFrame:
+    """(word): the words that occur in lower case often enough and in a candidate for a name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            asked: set[str] = set()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    counts.update(_lower_words(text))
+                    asked |= lexicon.name_words(text)
+            if words := [*counts, *(asked - counts.keys())]:
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64()), pa.array([w in asked for w in words], pa.bool_())], names=["word", "n", "asked"])
+
+    counts = documents.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n bigint, asked boolean")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked")).filter((F.col("n") >= COMMON_COUNT) & F.col("asked")).select("word")
+
+
 def finder(documents: DataFrame, names: DataFrame, text_col: str = "text") -> Finder:
     rows = _parts(names).collect()
     given, family = ({r.part for r in rows if r.kind == k} for k in ("given", "family"))
-    common = count_words(documents.select(F.col(text_col).cast("string").alias("t")), ["t"], _lower_words).filter(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").collect()
+    common = common_words(documents, Finder(given, family, set()), text_col).collect()
     return Finder(given, family, {r.word for r in common}, trained(frozenset(given), frozenset(family)))
 
 

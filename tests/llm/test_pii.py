@@ -78,3 +78,11 @@ def test_tables(spark):
     clean = {r.id: r.redacted for r in pii.redacted(docs, names).collect()}
     assert clean[1] == "The key is kept by [NAME]; Mr [NAME] has left." and clean[99] is None and clean[13] == ""
     assert pii.occurrences(docs.filter("false"), names.filter("false")).count() == 0
+
+
+def test_all_common_words_of_candidates_count(spark, monkeypatch):
+    monkeypatch.setattr(pii, "COMMON_WORDS", 2, raising=False)
+    texts = ["the garden of the house and the house of the fertile island"] * 3 + ["Mr Garden and Tamond Fertile came by the house.", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    names = spark.createDataFrame([(1, "Garden", "family"), (2, "Tamond", "given")], "entry_id bigint, name_part string, part_kind string")
+    assert pii.finder(docs, names).common == {"garden", "fertile"}
