@@ -81,3 +81,26 @@ def test_no_bound_of_depth_or_length(judge):
     assert judge.kinds('<span class="b"\n id="c">') == {"html"}
     assert judge.kinds('see [a](b.md "A title").') == judge.kinds("see [a](my leaf.md).") == judge.kinds("see [a](b_(c).md).") == {"markdown"}
     assert judge.kinds("here [illegible] (see leaf 4).") == set()
+
+
+def test_a_lone_star_is_a_footnote(judge):
+    for text in ("The cellar was painted.\n\n* Under the printed laboratory the steward received 763 shillings.\n\nEach was illustrated.", "* 1703年，青溪的报纸曾被恢复。", "End.\n* Entre 1887 et 1842, environ 13 pages furent copiées."):
+        assert judge.kinds(text) == set() and judge.clean(text) == text
+    assert judge.kinds("Items:\n\n* Under the printed laboratory.\n* Each was illustrated.") == {"markdown"}
+    assert judge.kinds("* a note with <b>mark</b> &amp; more") == {"html"}
+
+
+def test_decoding_is_joint():
+    """A descendant's score counts in the class of its ancestor, and inside code nothing is markup."""
+    inner = markup.Node("tag", 1, 2, (1,))
+    outer = markup.Node("code", 0, 3, (0,), [inner])
+    weak = {(0,): np.array([-0.7, -9, -0.6, -9, -9.0]), (1,): np.array([-3.0, -0.1, -9, -9, -9])}
+    assert markup.decode([outer], weak) == {id(outer): 0, id(inner): 1}
+    strong = {(0,): np.array([-9.0, -9, -0.1, -9, -9]), (1,): weak[1,]}
+    assert markup.decode([outer], strong) == {id(outer): 2, id(inner): 0}
+
+
+def test_elements_pair():
+    roots = markup.parse("<div><b>a</b><br/>b</div><i>")
+    state, around = markup._elements("<div><b>a</b><br/>b</div><i>", roots)
+    assert state == [3, 3, 3, 2, 3, 1] and around == [0, 1, 1, 1, 0, 0]
