@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageflow.functions import text as X
-
-# Bounds of repetition.
-MIN_RUN, MAX_UNIT, MAX_NGRAM, MIN_LINE = 3, 240, 10, 24
-KEEP_SHARE, COMPACT_SHARE = 0.96, 0.90
+from pageflow.functions.normalize import MAX_UNIT, MIN_RUN, arrow_function
 
 
 def explode_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -21,9 +18,9 @@ def explode_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
 
 def line_runs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The lines with ``run`` and ``run_length``: gaps and islands of equal lines, compared trimmed and in lower case."""
+    """The lines with ``run`` and ``run_length``: gaps and islands of equal lines, compared without markup, entities, case and marks at their edges."""
     order = Window.partitionBy(*keys).orderBy("line_no")
-    keyed = lines.withColumn("key", F.lower(F.trim("line")))
+    keyed = lines.withColumn("key", arrow_function("repeat_key")("line"))
     starts = F.when((F.col("key") == F.lag("key").over(order)) & (F.col("key") != ""), 0).otherwise(1)
     numbered = keyed.withColumn("_s", starts).withColumn("run", F.sum("_s").over(order)).drop("_s")
     return numbered.withColumn("run_length", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")))
@@ -32,15 +29,15 @@ def line_runs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 def repeated_runs(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(keys, first_line, run_length, line): runs of three or more equal lines that are neither blank nor longer than a unit."""
     runs = line_runs(explode_lines(df, keys, text), keys)
-    kept = runs.filter((F.col("run_length") >= MIN_RUN) & (F.col("key") != "") & (F.length("line") <= MAX_UNIT))
-    return kept.groupBy(*keys, "run").agg(F.min("line_no").alias("first_line"), F.max("run_length").alias("run_length"), F.min("key").alias("line")).drop("run")
+    kept = runs.filter((F.col("run_length") >= MIN_RUN) & (F.col("key") != "") & (F.length(F.trim("line")) <= MAX_UNIT))
+    return kept.groupBy(*keys, "run").agg(F.min("line_no").alias("first_line"), F.max("run_length").alias("run_length"), F.min_by("line", "line_no").alias("line")).drop("run")
 
 
 def collapse_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """(keys, collapsed): the texts with each such run reduced to its first line."""
     runs = line_runs(explode_lines(df, keys, text), keys)
     first = F.row_number().over(Window.partitionBy(*keys, "run").orderBy("line_no"))
-    kept = runs.withColumn("_rn", first).filter((F.col("_rn") == 1) | (F.col("run_length") < MIN_RUN) | (F.col("key") == "") | (F.length("line") > MAX_UNIT))
+    kept = runs.withColumn("_rn", first).filter((F.col("_rn") == 1) | (F.col("run_length") < MIN_RUN) | (F.col("key") == "") | (F.length(F.trim("line")) > MAX_UNIT))
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("collapsed"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.functions import text as X
+from pageflow.functions.normalize import arrow_function
 
 # Limits of the comparison.
 LOOKAHEAD, NGRAM = 5, 16
@@ -24,8 +25,9 @@ RETRY_MIN_OWN, RETRY_MAX_RATIO = (1, 2), (27, 20)
 
 def page_keys(pages: DataFrame, text: Column | None = None, source: Column | None = None) -> DataFrame:
     """(file_id, page_index, out_key, src_key): the compared forms of a page's result and of its source."""
-    out = X.overlap_key(F.col("text") if text is None else text)
-    src = X.overlap_key(F.coalesce("source_text", "text") if source is None else source)
+    key = arrow_function("overlap_text")
+    out = key(F.col("text") if text is None else text)
+    src = key(F.coalesce("source_text", "text") if source is None else source)
     return pages.select("file_id", "page_index", out.alias("out_key"), src.alias("src_key"))
 
 
@@ -116,5 +118,5 @@ def repair(pages: DataFrame, retries: DataFrame, leaking: DataFrame) -> DataFram
     source = X.or_empty(F.col("source_text"))
     both = leaking.select("file_id", "page_index").join(pages, ["file_id", "page_index"]).join(retries, ["file_id", "page_index"], "left")
     local = F.coalesce("page_local", F.lit(False))
-    usable = F.length(X.overlap_key(source)) >= MIN_SOURCE
+    usable = F.length(arrow_function("overlap_text")(source)) >= MIN_SOURCE
     return both.select("file_id", "page_index", F.when(local, F.col("retry_text")).when(usable, source).alias("repaired_text"), F.when(local, "retry").when(usable, "source_text").otherwise("image").alias("repaired_from"))

@@ -17,6 +17,8 @@ REASONS = {
     "pseudotext": "high repeated pseudo text; MinerU batched quality retry needed",
 }
 CHUNK_PAGES, RETRY_BATCH = 60, 24
+#: Pages of a file that are ranked together.
+RANK_BLOCK = 1024
 
 
 def first_loaded(pages: DataFrame) -> DataFrame:
@@ -128,10 +130,16 @@ def chunk_plan(files: DataFrame, pages_each: int = CHUNK_PAGES) -> DataFrame:
 
 
 def retry_batches(pages: DataFrame, size: int = RETRY_BATCH) -> DataFrame:
-    """(file_id, page_index, batch_no, local_index): the pages of each file that need a retry, in batches; a blank page follows each."""
-    w = Window.partitionBy("file_id").orderBy("page_index")
-    bad = pages.filter("needs_retry").select("file_id", "page_index").distinct().withColumn("rn", F.row_number().over(w) - 1)
-    return bad.select("file_id", "page_index", F.floor(F.col("rn") / size).cast("int").alias("batch_no"), (F.col("rn") % size * 2).cast("int").alias("local_index"))
+    """(file_id, page_index, batch_no, local_index): the pages of each file that need a retry, in batches; a blank page follows each.
+
+    Pages are ranked within blocks of a file, and blocks by their counts, so that no file is sorted in one task.
+    """
+    bad = pages.filter("needs_retry").select("file_id", "page_index").distinct().withColumn("_block", F.floor(F.col("page_index") / RANK_BLOCK))
+    counts = bad.groupBy("file_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("file_id", "_block").orderBy("page_index")) - 1
+    ranked = bad.withColumn("_own", own).join(counts.select("file_id", "_block", before.alias("_before")), ["file_id", "_block"]).withColumn("rn", F.col("_own") + F.col("_before"))
+    return ranked.select("file_id", "page_index", F.floor(F.col("rn") / size).cast("int").alias("batch_no"), (F.col("rn") % size * 2).cast("int").alias("local_index"))
 
 
 def with_chunk(pages: DataFrame, plan: DataFrame) -> DataFrame:

@@ -35,7 +35,12 @@ def prefer_page_markdown(pages: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return own.join(rebuilt, ["file_id", "page_index"], "full_outer").select("file_id", "page_index", X.first_filled(F.col("md_nohf_text"), F.col("markdown")).alias("markdown"))
 
 
-def book_markdown(page_md: DataFrame) -> DataFrame:
-    """(file_id, n_pages, markdown): the non-blank pages of each file, joined by blank lines, with a final line end."""
-    filled = page_md.filter(F.trim("markdown") != "")
-    return filled.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_pages"), F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "markdown"))), lambda x: F.trim(x["markdown"])), "\n\n"), F.lit("\n")).alias("markdown"))
+#: Pages of a book that are joined to one row, so that no book is one value.
+PART_PAGES = 60
+
+
+def book_markdown(page_md: DataFrame, pages_each: int = PART_PAGES) -> DataFrame:
+    """(file_id, part_no, n_pages, markdown): the non-blank pages of each part of a file, joined by blank lines, with a final line end."""
+    filled = page_md.filter(F.trim("markdown") != "").withColumn("part_no", F.floor(F.col("page_index") / pages_each).cast("int"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", F.trim("markdown").alias("md")))), lambda x: x["md"]), "\n\n")
+    return filled.groupBy("file_id", "part_no").agg(F.count(F.lit(1)).alias("n_pages"), F.concat(joined, F.lit("\n")).alias("markdown"))

@@ -298,9 +298,14 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- content of later pages
 
-_OVERLAP_SQL = """WITH f AS (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1),
+# Compatibility forms and case folding, as far as the tables hold such characters.
+_FULL = "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]))
+_HALF = "".join(chr(ord(c) - 0xFEE0) for c in _FULL)
+_KEY_SQL = "regexp_replace(replace(replace(lower(translate(nfc_normalize({c}), '" + _FULL + "', '" + _HALF + "')), 'ß', 'ss'), '№', 'no'), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_OUT_SQL, _SOURCE_SQL = _KEY_SQL.format(c="coalesce(text, '')"), _KEY_SQL.format(c="coalesce(source_text, text, '')")
+_OVERLAP_SQL = f"""WITH f AS (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1),
     l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY file_id, page_index ORDER BY run_no DESC, page_result_id) = 1),
-    k AS (SELECT file_id, page_index, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]', '', 'g') AS ok, regexp_replace(lower(coalesce(source_text, text, '')), '[^\\p{L}\\p{N}]', '', 'g') AS sk FROM l),
+    k AS (SELECT file_id, page_index, {_OUT_SQL} AS ok, {_SOURCE_SQL} AS sk FROM l),
     g AS (SELECT *, CASE WHEN length(ok) >= 16 THEN list_distinct(list_transform(range(1, length(ok) - 14), lambda i: substr(ok, i, 16))) ELSE [] END AS og, CASE WHEN length(sk) >= 16 THEN list_distinct(list_transform(range(1, length(sk) - 14), lambda i: substr(sk, i, 16))) ELSE [] END AS sg FROM k)
     SELECT a.file_id, a.page_index, b.page_index + 1 AS target_page, len(list_intersect(b.sg, a.og)) AS shared, len(b.sg) AS total FROM g a JOIN g b ON a.file_id = b.file_id AND b.page_index > a.page_index AND b.page_index <= a.page_index + 5"""
 
@@ -311,7 +316,7 @@ def forward_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH o AS ({_OVERLAP_SQL}), z AS (SELECT file_id, page_index, length(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS ol, length(regexp_replace(lower(coalesce(source_text, text, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS sl FROM (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1) QUALIFY row_number() OVER (PARTITION BY file_id, page_index ORDER BY run_no DESC, page_result_id) = 1)
+    f"""WITH o AS ({_OVERLAP_SQL}), z AS (SELECT file_id, page_index, length({_OUT_SQL}) AS ol, length({_SOURCE_SQL}) AS sl FROM (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1) QUALIFY row_number() OVER (PARTITION BY file_id, page_index ORDER BY run_no DESC, page_result_id) = 1)
     SELECT o.file_id, o.page_index, count(*) AS n_targets, min(o.target_page) AS first_target FROM o JOIN z a ON o.file_id = a.file_id AND o.page_index = a.page_index JOIN z b ON o.file_id = b.file_id AND o.target_page - 1 = b.page_index
     WHERE a.sl >= 120 AND a.ol * 4 > a.sl * 5 AND b.sl >= 500 AND o.total > 0 AND o.shared * 5 >= o.total * 3 GROUP BY 1, 2"""
 )
@@ -332,22 +337,24 @@ def leak_repairs(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- lines and tables
 
-_RUNS_SQL = """WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS line_no, unnest(s) AS line FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') AS s FROM documents)),
-    k AS (SELECT *, lower(trim(line)) AS key FROM l), g AS (SELECT *, CASE WHEN key = lag(key) OVER w AND key <> '' THEN 0 ELSE 1 END AS st FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-    r AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM g)
-    SELECT doc_id, min(line_no) AS first_line, count(*) AS run_length, min(key) AS line FROM r WHERE key <> '' AND length(line) <= 240 GROUP BY doc_id, run HAVING count(*) >= {n}"""
+# A line without inline marks and tags, entities of the common kinds, case, spacing and marks at its edges.
+_LINE_KEY_SQL = (
+    "regexp_replace(regexp_replace(lower(trim(translate(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(line), '(?i)</?(?:b|strong|i|em|u|s|del|mark|sup|sub|code|span|small|font)(?:\\s[^<>]*)?>', '', 'g'), "
+    "'\\*+([^*]+)\\*+', '\\1', 'g'), '\\s+', ' ', 'g'), '" + _FULL + "', '" + _HALF + "'))), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'), '&(?:nbsp|amp|lt|gt);', ' ', 'g')"
+)
+_RUNS_SQL = f"""WITH l AS (SELECT page_result_id, generate_subscripts(s, 1) - 1 AS line_no, unnest(s) AS line FROM (SELECT page_result_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') AS s FROM page_results)),
+    k AS (SELECT *, {_LINE_KEY_SQL} AS key FROM l), g AS (SELECT *, CASE WHEN key = lag(key) OVER w AND key <> '' THEN 0 ELSE 1 END AS st FROM k WINDOW w AS (PARTITION BY page_result_id ORDER BY line_no)),
+    r AS (SELECT *, sum(st) OVER (PARTITION BY page_result_id ORDER BY line_no) AS run FROM g)"""
 
 
-@query(_RUNS_SQL.format(n=3))
+@query(_RUNS_SQL + " SELECT page_result_id, min(line_no) AS first_line, count(*) AS run_length, arg_min(line, line_no) AS line FROM r WHERE key <> '' AND length(trim(line)) <= 240 GROUP BY page_result_id, run HAVING count(*) >= 3")
 def repeated_line_runs(spark: SparkSession, d: str) -> DataFrame:
-    return lines.repeated_runs(_docs(spark, d), ["doc_id"], "text")
+    return lines.repeated_runs(_pages(spark, d), ["page_result_id"], "text")
 
 
 @query(
-    """WITH l AS (SELECT page_result_id, generate_subscripts(s, 1) - 1 AS line_no, unnest(s) AS line FROM (SELECT page_result_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') AS s FROM page_results)),
-    k AS (SELECT *, lower(trim(line)) AS key FROM l), g AS (SELECT *, CASE WHEN key = lag(key) OVER w AND key <> '' THEN 0 ELSE 1 END AS st FROM k WINDOW w AS (PARTITION BY page_result_id ORDER BY line_no)),
-    r AS (SELECT *, sum(st) OVER (PARTITION BY page_result_id ORDER BY line_no) AS run FROM g), n AS (SELECT *, count(*) OVER (PARTITION BY page_result_id, run) AS run_length, row_number() OVER (PARTITION BY page_result_id, run ORDER BY line_no) AS rn FROM r)
-    SELECT page_result_id, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS sha256 FROM n WHERE rn = 1 OR run_length < 3 OR key = '' OR length(line) > 240 GROUP BY 1"""
+    _RUNS_SQL + """, n AS (SELECT *, count(*) OVER (PARTITION BY page_result_id, run) AS run_length, row_number() OVER (PARTITION BY page_result_id, run ORDER BY line_no) AS rn FROM r)
+    SELECT page_result_id, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS sha256 FROM n WHERE rn = 1 OR run_length < 3 OR key = '' OR length(trim(line)) > 240 GROUP BY 1"""
 )
 def collapsed_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.collapse_lines(_pages(spark, d), ["page_result_id"], "text").select("page_result_id", F.sha2("collapsed", 256).alias("sha256"))
@@ -397,10 +404,15 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return rebuild.page_markdown(_blocks(spark, d)).select("file_id", "page_index", F.sha2("markdown", 256).alias("sha256"))
 
 
-@query()
+@query(
+    f"""WITH own AS (SELECT file_id, page_index, md_nohf_text FROM (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1) QUALIFY row_number() OVER (PARTITION BY file_id, page_index ORDER BY run_no DESC, page_result_id) = 1),
+    built AS (SELECT file_id, page_index, string_agg(md, chr(10) || chr(10) ORDER BY cell_ord) AS md FROM (SELECT *, {_MD} AS md FROM ({_ORDERED_SQL})) WHERE md <> '' GROUP BY 1, 2),
+    m AS (SELECT file_id, page_index, coalesce(nullif(md_nohf_text, ''), nullif(md, '')) AS markdown FROM own FULL JOIN built USING (file_id, page_index))
+    SELECT file_id, (page_index // 60)::integer AS part_no, count(*) AS n_pages, sha256(string_agg(trim(markdown, ' '), chr(10) || chr(10) ORDER BY page_index, trim(markdown, ' ')) || chr(10)) AS sha256 FROM m WHERE trim(markdown, ' ') <> '' GROUP BY 1, 2"""
+)
 def book_markdown(spark: SparkSession, d: str) -> DataFrame:
     merged = rebuild.prefer_page_markdown(pages.last_run(_pages(spark, d)), rebuild.page_markdown(_blocks(spark, d)))
-    return rebuild.book_markdown(merged)
+    return rebuild.book_markdown(merged).select("file_id", "part_no", "n_pages", F.sha2("markdown", 256).alias("sha256"))
 
 
 @query()
@@ -410,7 +422,7 @@ def normalized_page_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def plain_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_result_id", X.squeeze(X.strip_heading_marks(X.strip_markdown(F.col("md_nohf_text")))).alias("plain"))
+    return _pages(spark, d).select("page_result_id", X.squeeze(X.strip_heading_marks(arrow_function("strip_markdown")("md_nohf_text"))).alias("plain"))
 
 
 @query()
@@ -538,15 +550,21 @@ def idle_gaps(spark: SparkSession, d: str) -> DataFrame:
     return progress.idle_gaps(ticks, "user_id", "ts", 86_400)
 
 
+# What the lines of the stages say, and from where to where their progress goes.
+_STAGE_LINES = [("parse", 0, 65), ("layout", 75, 85), ("render", 85, 90), ("image render", 93, 95)]
+
+
 @query(
-    "WITH f AS (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1) SELECT file_id::varchar AS run_id, 65.0::double AS percent, count(*) AS lines FROM f GROUP BY 1"
+    f"""WITH e AS (SELECT user_id, event_id, ts, event_id % 5 AS kind, event_id % 65 AS done FROM events),
+    o AS (SELECT *, CASE kind {' '.join(f"WHEN {i} THEN round_even({low} + {high - low} * done / 64.0::double, 1)" for i, (_, low, high) in enumerate(_STAGE_LINES))} END AS own FROM e)
+    SELECT event_id, coalesce(max(own) OVER w, 0.0)::double AS percent, last_value(CASE kind {' '.join(f"WHEN {i} THEN '{name.replace(' ', '_')}'" for i, (name, _, _) in enumerate(_STAGE_LINES))} END IGNORE NULLS) OVER w AS stage
+    FROM o WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
 def log_progress(spark: SparkSession, d: str) -> DataFrame:
-    """The pages of a file as the log lines of its run, folded to its latest state."""
-    from pyspark.sql.window import Window
-
-    loaded = pages.first_loaded(_pages(spark, d))
-    n = F.row_number().over(Window.partitionBy("file_id").orderBy("loaded_at", "page_result_id"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("file_id"))
-    log = loaded.withColumns({"n": n, "total": total}).select(F.col("file_id").cast("string").alias("run_id"), F.col("n").cast("bigint").alias("seq"), F.format_string("parse %d/%d", "n", "total").alias("line"))
-    return progress.running_progress(progress.parse_lines(log)).groupBy("run_id").agg(F.max("percent").alias("percent"), F.max("seq").alias("lines"))
+    """The events of a user as the log lines of a run, four stages and noise in turn, with the state after each line."""
+    done = (F.col("event_id") % 65).cast("int")
+    line = F.lit("still waiting")
+    for i, (name, _, _) in enumerate(_STAGE_LINES):
+        line = F.when(F.col("event_id") % 5 == i, F.format_string(f"\x1b[32m{name} %d/64\x1b[0m", done)).otherwise(line)
+    log = _events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("bigint").alias("seq"), line.alias("line"))
+    return progress.running_progress(progress.parse_lines(log)).select(F.col("seq").alias("event_id"), "percent", "stage")

@@ -88,11 +88,23 @@ def layout_kind(path: Column) -> Column:
 
 
 def select_layout_files(listed: DataFrame) -> DataFrame:
-    """One family of layout files of each folder: all of the best kind, of the least kind only the first path."""
-    d = listed.withColumns({"dir": F.regexp_extract("path", r"(.*)/", 1), "rank": layout_kind(F.col("path"))})
-    w = Window.partitionBy("dir")
-    best = d.withColumns({"best": F.min("rank").over(w), "rn": F.row_number().over(w.orderBy("rank", "path"))})
-    return best.filter((F.col("rank") == F.col("best")) & ((F.col("rank") < 10) | (F.col("rn") == 1))).drop("best", "rn", "rank", "dir")
+    """One family of layout files of each folder.
+
+    All ``*_middle.json``; without any, all ``*_content_list.json`` of the first
+    form; without any, all ``*_model.json``; else only the first file by the
+    preference of its name and its path.
+    """
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    family = F.when(name.endswith("_middle.json"), 0).when(name.endswith("_content_list.json") & ~name.contains("_content_list_v2"), 1).when(name.endswith("_model.json"), 2).otherwise(3)
+    d = listed.withColumns({"_dir": F.regexp_extract("path", r"(.*)/", 1), "_family": family, "_kind": layout_kind(F.col("path"))})
+    w = Window.partitionBy("_dir")
+    best = d.withColumns({"_best": F.min("_family").over(w), "_rn": F.row_number().over(w.orderBy("_family", "_kind", "path"))})
+    return best.filter((F.col("_family") == F.col("_best")) & ((F.col("_family") < 3) | (F.col("_rn") == 1))).drop("_dir", "_family", "_kind", "_best", "_rn")
+
+
+def supplement_layout_files(listed: DataFrame) -> DataFrame:
+    """The files that may fill holes: only ``*_middle.json``, whose spare blocks have a layout."""
+    return listed.filter(F.regexp_extract("path", r"([^/]*)$", 1).endswith("_middle.json"))
 
 
 def page_index_of(path: Column) -> Column:

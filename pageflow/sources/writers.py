@@ -9,8 +9,9 @@ from pageflow.operators.state import with_checksum
 
 
 def write_books(books: DataFrame, folder: str) -> None:
-    """One text file per book, named by its id: each book is one row and one partition directory."""
-    books.select("file_id", F.col("markdown").alias("value")).repartition("file_id").write.mode("overwrite").partitionBy("file_id").text(folder)
+    """One folder for each book, named by its id; its parts stand in order in one text file, as rows and never as one value."""
+    ordered = books.repartition("file_id").sortWithinPartitions("file_id", "part_no")
+    ordered.select("file_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file_id").text(folder)
 
 
 def quality_reports(suspects: DataFrame, manifest: DataFrame) -> DataFrame:

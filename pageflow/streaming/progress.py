@@ -36,12 +36,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def percent(stage: Column, done: Column, total: Column) -> Column:
-    """The progress of an event within its stage, to one decimal; null without a stage."""
+    """The progress of an event within its stage, to one decimal (halves to the even one); null without a stage."""
     out = F.lit(None).cast("double")
     share = F.when(total > 0, F.least(F.lit(1.0), done / total)).otherwise(0.0)
     for name, (low, high) in STAGES.items():
         out = F.when(stage == name, F.lit(low) + (high - low) * share).otherwise(out)
-    return F.round(out, 1)
+    return F.bround(out, 1)
 
 
 def running_progress(events: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageflow.functions import geometry as G
-from pageflow.functions import latex, normalize
+from pageflow.functions import htmltext, inline, latex, normalize
 from pageflow.functions import text as X
 
 
@@ -14,8 +14,8 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize(("text", "want"), [("**b** _i_ `c` [l](u) ~~s~~", "b i c l s"), ("<b>x</b><span>y</span>", "xy"), ("a $x^2$ b", "a x^2 b"), ("from $5  to $6", "from $5  to $6"), (None, None), ("", "")])
-def test_strip_markdown(spark, text, want):
-    assert one(spark, X.strip_markdown(F.col("t")), t=text) == want
+def test_strip_markdown(text, want):
+    assert inline.strip_markdown(text) == want
 
 
 @pytest.mark.parametrize(("text", "want"), [("12", True), ("[3]", True), ("xiv", True), ("12345", False), ("a", False), (None, False)])
@@ -30,7 +30,7 @@ def test_dot_leaders(spark):
 
 
 def test_overlap_key_and_ngrams(spark):
-    assert one(spark, X.overlap_key(F.col("t")), t="A b-1 é!") == "ab1é"
+    assert one(spark, normalize.arrow_function("overlap_text")(F.col("t")), t="A b-1 é!") == "ab1é"
     assert one(spark, F.size(X.ngrams(F.col("t"), 4)), t="aaaaaa") == 1
     assert one(spark, F.size(X.ngrams(F.col("t"), 4)), t="abc") == 0
 
@@ -90,10 +90,63 @@ def test_collapse():
 def test_append_with_overlap():
     shared = "a passage of more than forty characters that both hold"
     assert normalize.append_with_overlap("first " + shared, shared + " last") == f"first {shared} last"
-    assert normalize.append_with_overlap("x", "y") == "x\ny"
+    assert normalize.append_with_overlap("x", "y") == "x y"
     assert normalize.append_with_overlap("", "y") == "y"
 
 
 def test_functions_in_sql(spark):
     normalize.register(spark)
     assert spark.sql("SELECT linearize_latex('x^{2}') AS r, normalize_text(NULL) AS n").first() == ("x²", "")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("***a*** ___b___ ==c== H~2~O x^2^", "a b c H2O x2"), ("*a **b** c*", "a b c"), ("a * b", "a * b"), ("**a\nb**", "**a\nb**"), ("![i](u) [**l**](u)", "i l"), ("note[^3] here", "note3 here"),
+        ("```py\nx = 1\n```", "x = 1\n"), ("line<br>end", "line end"), ("<b>x</b> <i>y", "x <i>y"), ("\\(x+1\\) and $5 and", "x+1 and $5 and"), ("$$a_1$$", "a_1"), ("****", "****"), ("2 ** 3", "2 ** 3"), ("<table><b>t</b></table>", "<table>t</table>"),
+    ],
+)
+def test_inline_scan(text, want):
+    assert inline.strip_markdown(text) == want
+
+
+def test_html_as_markdown():
+    assert inline.html_as_markdown("<strong>a</strong> <em>b</em> <code>c</code> <u>d</u> <del>e</del> x<sup>2</sup> <span>f</span>") == "**a** *b* `c` ==d== ~~e~~ x2 f"
+    assert inline.html_as_markdown("\\(x\\) \\[y\\] $$z$$") == "$x$ $y$ $z$"
+    assert inline.strip_html("<b>a</b><br/><font size=1>b</font> **c**") == "a b **c**"
+    assert inline.strip_html(None) is None and inline.strip_markdown("") == ""
+
+
+@pytest.mark.parametrize(("text", "want"), [("x", True), ("a = b", True), ("F(x), g", True), ("two  spaces", False), ("", False), ("é", False), ("y" * 221, False), (None, False)])
+def test_is_likely_math(text, want):
+    assert inline.is_likely_math(text) is want
+
+
+def test_html_text():
+    assert htmltext.html_to_text("<p>a &amp; b</p><p>c<br>d</p>") == "a & b\nc\nd"
+    assert htmltext.tables_to_text("x <table><tr><td>a</td><td></td><td>b  c</td></tr><tr><th>d</th></tr></table> y") == "x a    b c\nd y"
+    assert htmltext.tables_to_text("<td>a</td> <td>b</td>") == "a | b"
+    assert htmltext.tables_to_text("no <b>table</b>") == "no <b>table</b>" and htmltext.tables_to_text(None) is None
+
+
+def test_repeats_are_compared_without_markup():
+    assert normalize.repeat_key("  **The &amp; End**. ") == normalize.repeat_key("the & end") == "the & end"
+    assert normalize.collapse_lines("**Same**\nsame\nSAME.\nother") == "**Same**\nother"
+    assert normalize.collapse_lines("a\n\n\n\nb") == "a\n\n\n\nb"
+    assert normalize.collapse_repeated("x=1 y=2 x=1 y=2 x=1 y=2 x=1 y=2\nkept as it is") == "x=1 y=2\nkept as it is"
+    page = "One line of prose that stays.\nAnother line of prose follows here.\nThe third one differs again."
+    assert normalize.collapse_repeated(page) == page
+    long = " ".join(["w" * 150, "v" * 150])
+    assert normalize.collapse_tokens(" ".join([long] * 3)) == " ".join([long] * 3)  # a group longer than a unit stays
+
+
+def test_nearly_equal_edges_are_taken_once():
+    shared = "a passage that was recognised twice with one small difference at its end"
+    got = normalize.append_with_overlap("First words. " + shared + "ing", "x " + shared + " and more")
+    assert got.count("a passage") == 1 and got.endswith("and more")
+    assert normalize.texts_overlap("abc", "xx abc yy") and not normalize.texts_overlap("abc", "") and not normalize.texts_overlap("first text", "second text")
+
+
+def test_citations(spark):
+    for text, want in (("x^{[3]}", "x[3]"), ("x^([4, 5])", "x[4, 5]"), ("\\textsuperscript{ [6] }", "[6]"), ("2^{lei}", "2lei"), ("a_{n}", "an"), ("a^b", "a^b")):
+        assert one(spark, X.unwrap_citations(F.col("t")), t=text) == want

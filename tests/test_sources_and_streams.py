@@ -22,6 +22,29 @@ def test_layout_files(spark, tmp_path):
     assert sorted(r.name for r in chosen.collect()) == ["a_middle.json", "b_middle.json"]
 
 
+@pytest.mark.parametrize(
+    ("names", "chosen"),
+    [
+        (["a_model.json", "a_content_list.json", "a_content_list_v2.json"], ["a_content_list.json"]),
+        (["a_model.json", "a_content_list_v2.json"], ["a_model.json"]),
+        (["a_layout.json", "b_layout.json", "z.json"], ["a_layout.json"]),
+        (["a_middle.json", "b_middle.json", "a_model.json"], ["a_middle.json", "b_middle.json"]),
+        (["middle_notes.json", "x.json"], ["middle_notes.json"]),
+    ],
+)
+def test_one_family_of_layout_files(spark, names, chosen):
+    df = spark.createDataFrame([(f"/out/{n}",) for n in names], "path string")
+    assert sorted(r.path.rsplit("/")[-1] for r in readers.select_layout_files(df).collect()) == chosen
+    assert readers.supplement_layout_files(df).count() == sum(n.endswith("_middle.json") for n in names)
+
+
+def test_progress_of_each_stage(spark):
+    stages = [("a", 1, "parse 90/200", 29.2), ("b", 1, "layout 100/200", 80.0), ("c", 1, "render 50/200", 86.2), ("d", 1, "validate 100/200", 91.5), ("e", 1, "image validate 50/200", 95.8)]
+    df = spark.createDataFrame([x[:3] for x in stages], "run_id string, seq bigint, line string")
+    got = {r.run_id: r.percent for r in progress.running_progress(progress.parse_lines(df)).collect()}
+    assert got == {x[0]: x[3] for x in stages}
+
+
 def test_markdown_and_logs(spark, tmp_path):
     (tmp_path / "x_nohf.md").write_text("a\n\n\n\nb ")
     (tmp_path / "x.md").write_text("other")
@@ -40,9 +63,10 @@ def test_page_names_and_lists(spark):
 
 
 def test_writers(spark, tmp_path):
-    books = spark.createDataFrame([(1, "a\n"), (2, "b\n")], "file_id bigint, markdown string")
+    books = spark.createDataFrame([(1, 0, "a\n"), (2, 0, "b\n"), (1, 1, "c\n")], "file_id bigint, part_no int, markdown string")
     writers.write_books(books, str(tmp_path / "books"))
-    assert spark.read.text(str(tmp_path / "books")).filter("value <> ''").count() == 2
+    assert spark.read.text(str(tmp_path / "books")).filter("value <> ''").count() == 3
+    assert [r.value for r in spark.read.text(str(tmp_path / "books" / "file_id=1")).collect() if r.value] == ["a", "c"]
     counts = spark.createDataFrame([(1, 2, 0, 0), (2, 1, 0, 1), (3, 0, 1, 0)], "file_id bigint, completed bigint, skipped bigint, failed bigint")
     r = writers.batch_summary(counts).first()
     assert (r.completed, r.skipped, r.failed, r.status) == (1, 1, 1, "completed_with_failures")
