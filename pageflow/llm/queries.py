@@ -48,7 +48,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.outliers(_pages(spark, sf_dir), "page_result_id", "origin", ["text", "md_nohf_text"]).selectExpr("id as page_result_id", "field", "repeated / words as repeated_share", "round(distance, 6) as distance", "outlier", "rejected")
+    return repetition.outliers(_pages(spark, sf_dir), "page_result_id", "origin", ["text", "md_nohf_text"]).selectExpr("id as page_result_id", "field", "repeated / words as repeated_share", "round(distance, 6) as distance", "rejected")
+
+
+@query
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.recall(_pages(spark, sf_dir), "page_result_id", "origin", ["text", "md_nohf_text"])
 
 
 @query
@@ -77,6 +82,11 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(_cut_values(spark, sf_dir))
 
 
+@query
+def p3_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.by_evidence(_cut_values(spark, sf_dir))
+
+
 def _noise(spark: SparkSession, sf_dir: str) -> PageNoise:
     return PageNoise(_pages(spark, sf_dir), load_table(spark, sf_dir, "source_files"), "page_result_id", ["text", "md_nohf_text", "fallback_text"])
 

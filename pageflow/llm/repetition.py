@@ -5,16 +5,19 @@ and a transformed statistic vector: the arc sine of the root of the repeated
 share, the log odds of the words that are new, and the log of the length.
 
 For each language and source a regularised minimum-covariance-determinant
-estimate is made from all its values by concentration steps: the vectors within
-the ``CORE`` quantile of the distances give the next mean and covariance.
-Every step is a grouped aggregate with partial sums, so a source that holds a
-third of all rows is no single task.
-
-A value is rejected when its Mahalanobis distance is beyond the group's limit.
-The limit is the usual chi-square quantile, lowered where needed to the least
-distance that any vector with the share in question can have,
-``(t - mean) / deviation`` of the first statistic: so no value with that share
-escapes, whatever the group looks like, and an exact check of the share follows.
+estimate is made from all its values.  ``STARTS`` first guesses (the medians and
+quartile ranges, the same around the low and the high quartiles, and the plain
+moments) go through concentration steps: the vectors within the ``CORE`` quantile
+of the distances give the next mean and covariance.  After ``TRIAL`` steps each
+group keeps the start of least determinant, and steps go on until no group's
+determinant falls any more.  Every step is a grouped aggregate with partial sums,
+so a source that holds a third of all rows is no single task.  Groups of fewer
+than ``LEAST`` values have no estimate of their own.
+
+A value is rejected when its Mahalanobis distance to the estimate of its group, or
+to that of all values (for a source in which most values repeat), is beyond the
+chi-square limit; no other limit decides.  ``repetitive`` then checks the exact share of
+the rejected values; ``recall`` measures what the rejection would lose.
 
 Defined results of odd input: null, empty and wordless values give no row of
 statistics; a value shorter than a run has no repetition; repeated rows give
@@ -30,16 +33,22 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pageflow.llm.textlang import IS_HAN, WORDS, language
 from pageflow.session import checkpointed
 
 RUN, HAN_RUN = 6, 12
-#: The share of a group that the estimate is made from.
-CORE = 0.75
-STEPS = 3
+#: The share of a group that the estimate is made from: half, so that no minority of a group can shift it.
+CORE = 0.5
+#: First guesses, steps before the best is chosen, and the fall of the determinant (as a share) below which a group is done.
+STARTS, TRIAL, SETTLED = 4, 2, 1e-3
+#: Steps after which the estimate stands in any case; each lowers the determinant, so it only becomes better until then.
+MAX_STEPS = 30
+#: A group of fewer values uses the estimate of all.
+LEAST = 30
 #: The 0.975 quantile of chi-square with three degrees of freedom, and the factor that makes the core's covariance consistent.
-CHI2, CONSISTENT = 9.348, 1.6
+CHI2, CONSISTENT = 9.348, 2.45
 #: Least deviations of the three statistics, which keep the covariance regular.
 FLOOR = (0.02, 0.05, 0.05)
 _DIMS = ("x1", "x2", "x3")
@@ -93,43 +102,89 @@ def _moments() -> list[Column]:
     return [F.avg(x).alias(f"m_{x}") for x in _DIMS] + [(F.avg(F.col(_DIMS[i]) * F.col(_DIMS[j]))).alias(f"p{i}{j}") for i, j in _PAIRS]
 
 
-def _with_inverse(model: DataFrame) -> DataFrame:
-    """The model of each group with the inverse of its covariance, in closed form."""
+_KEY = ["lang", "source_key"]
+#: The key of the estimate of all values.
+ALL = "*"
+
+
+def _with_inverse(model: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The model of each group with the determinant and the inverse of its covariance, in closed form."""
     s = {(i, j): F.col(f"s{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)}
     cof = {(i, j): s[(i + 1) % 3, (j + 1) % 3] * s[(i + 2) % 3, (j + 2) % 3] - s[(i + 1) % 3, (j + 2) % 3] * s[(i + 2) % 3, (j + 1) % 3] for i, j in _PAIRS}
     det = s[0, 0] * cof[0, 0] + s[0, 1] * cof[0, 1] + s[0, 2] * cof[0, 2]
-    return model.withColumns({f"i{i}{j}": cof[i, j] / det for i, j in _PAIRS}).select("lang", "source_key", *[f"m_{x}" for x in _DIMS], "s00", *[f"i{i}{j}" for i, j in _PAIRS])
+    return model.withColumns({f"i{i}{j}": cof[i, j] / det for i, j in _PAIRS}).select(*key, *[f"m_{x}" for x in _DIMS], det.alias("det"), *[f"i{i}{j}" for i, j in _PAIRS])
+
+
+def _distance(model: str = "") -> Column:
+    """The squared Mahalanobis distance to the estimate in the columns, or in the struct *model*."""
+    d = [F.col(x) - F.col(f"{model}m_{x}") for x in _DIMS]
+    return sum((d[i] * d[j] * F.col(f"{model}i{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
+
 
+def _starts(stats: DataFrame) -> DataFrame:
+    """(lang, source_key, start, means, covariance): the first guesses of each group."""
+    by = stats.groupBy(*_KEY).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(f"q_{x}") for x in _DIMS], *[F.avg(x).alias(f"a_{x}") for x in _DIMS], *[F.coalesce(F.var_samp(x), F.lit(0.0)).alias(f"v_{x}") for x in _DIMS])
+    guesses = []
+    for at in (1, 0, 2, None):  # around the medians, the low and the high quartiles, and the plain means
+        mean = [F.col(f"a_{x}") if at is None else F.col(f"q_{x}")[at] for x in _DIMS]
+        spread = [F.col(f"v_{x}") if at is None else ((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349) ** 2 for x in _DIMS]
+        guesses.append(F.struct(F.lit(len(guesses)).alias("start"), *[m.alias(f"m_{x}") for m, x in zip(mean, _DIMS, strict=True)], *[(F.greatest(spread[i], F.lit(FLOOR[i] ** 2)) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _PAIRS]))
+    return by.select(*_KEY, F.explode(F.array(*guesses[:STARTS])).alias("g")).select(*_KEY, "g.*")
 
-def _distance() -> Column:
-    d = [F.col(x) - F.col(f"m_{x}") for x in _DIMS]
-    return sum((d[i] * d[j] * F.col(f"i{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
+
+def _step(stats: DataFrame, model: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One concentration step: the estimate from the core of each group, regularised by the floors."""
+    at = stats.join(model, _KEY).withColumn("d2", _distance())
+    near = at.join(at.groupBy(*key).agg(F.percentile_approx("d2", CORE).alias("limit")), list(key)).filter("d2 <= limit")
+    m = near.groupBy(*key).agg(*_moments())
+    cov = [((F.col(f"p{i}{j}") - F.col(f"m_{_DIMS[i]}") * F.col(f"m_{_DIMS[j]}")) * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in _PAIRS]
+    return checkpointed(_with_inverse(m.select(*key, *[f"m_{x}" for x in _DIMS], *cov), key))
 
 
 def mcd(stats: DataFrame) -> DataFrame:
-    """(lang, source_key, means, s00, inverse covariance): the robust estimate of each group, from all its values."""
-    key = ["lang", "source_key"]
-    quart = stats.groupBy(*key).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(f"q_{x}") for x in _DIMS])
-    start = quart.select(*key, *[F.col(f"q_{x}")[1].alias(f"m_{x}") for x in _DIMS], *[(F.greatest((F.col(f"q_{_DIMS[i]}")[2] - F.col(f"q_{_DIMS[i]}")[0]) / 1.349, F.lit(FLOOR[i])) ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _PAIRS])
-    model = checkpointed(_with_inverse(start))
-    for _ in range(STEPS):
-        at = stats.join(model, key).withColumn("d2", _distance())
-        near = at.join(at.groupBy(*key).agg(F.percentile_approx("d2", CORE).alias("limit")), key).filter("d2 <= limit")
-        m = near.groupBy(*key).agg(*_moments())
-        cov = [((F.col(f"p{i}{j}") - F.col(f"m_{_DIMS[i]}") * F.col(f"m_{_DIMS[j]}")) * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in _PAIRS]
-        model = checkpointed(_with_inverse(m.select(*key, *[f"m_{x}" for x in _DIMS], *cov)))
+    """(lang, source_key, means, det, inverse covariance): the robust estimate of each group of LEAST values or more, and of all values.
+
+    Runs jobs: the steps go on until every group's determinant has settled.
+    """
+    sizes = stats.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter(F.col("n") >= LEAST).select(*_KEY)
+    every = stats.select(F.lit(ALL).alias("lang"), F.lit(ALL).alias("source_key"), *_DIMS)
+    own = checkpointed(stats.join(large, _KEY, "left_semi").select(*_KEY, *_DIMS).unionByName(every))
+    several = [*_KEY, "start"]
+    model = checkpointed(_with_inverse(_starts(own), several))
+    for _ in range(TRIAL):
+        model = _step(own, model, several)
+    best = F.min(F.struct("det", "start")).over(Window.partitionBy(*_KEY))
+    model = checkpointed(model.withColumn("_best", best["start"]).filter("start = _best").drop("_best", "start"))
+    for _ in range(MAX_STEPS):
+        after = _step(own, model, _KEY)
+        before = model.select(*_KEY, F.col("det").alias("before"))
+        model = after
+        if after.join(before, _KEY).filter(F.col("before") - F.col("det") > SETTLED * F.col("before")).isEmpty():
+            break
     return model
 
 
-def outliers(df: DataFrame, id_col: str, source_col: str, fields: Sequence[str], share: tuple[int, int] = (1, 3)) -> DataFrame:
-    """Every value's statistics with ``distance`` (Mahalanobis), ``outlier`` (beyond chi-square) and ``rejected`` (beyond the group's limit)."""
+def outliers(df: DataFrame, id_col: str, source_col: str, fields: Sequence[str]) -> DataFrame:
+    """Every value's statistics with ``distance`` (the larger of the Mahalanobis distances to its group and to all values) and ``rejected`` (beyond the chi-square limit)."""
     stats = checkpointed(statistics(df, id_col, source_col, fields).withColumn("source_key", F.coalesce("source", F.lit(""))))
-    t = math.asin(math.sqrt(share[0] / share[1])) - 1e-9
-    least = F.when(F.col("m_x1") < t, (F.lit(t) - F.col("m_x1")) ** 2 / F.col("s00")).otherwise(0.0)
-    at = stats.join(mcd(stats), ["lang", "source_key"]).withColumn("d2", _distance())
-    return at.select("id", "field", "lang", "source", "words", "repeated", F.sqrt(F.greatest("d2", F.lit(0.0))).alias("distance"), (F.col("d2") > CHI2).alias("outlier"), (F.col("d2") >= F.least(F.lit(CHI2), least * (1 - 1e-9))).alias("rejected"))
+    model = mcd(stats)
+    pooled = model.filter(F.col("lang") == ALL).select(F.struct(*model.columns[2:]).alias("_all"))
+    own = model.filter(F.col("lang") != ALL).select(*_KEY, F.struct(*model.columns[2:]).alias("_own"))
+    at = stats.join(own, _KEY, "left").join(F.broadcast(pooled))  # one row for all
+    d2 = F.greatest(F.coalesce(_distance("_own."), _distance("_all.")), _distance("_all."), F.lit(0.0))
+    return at.withColumn("d2", d2).select("id", "field", "lang", "source", "words", "repeated", F.sqrt("d2").alias("distance"), (F.col("d2") > CHI2).alias("rejected"))
+
+
+def _shares(share: tuple[int, int]) -> Column:
+    return F.col("repeated") * share[1] >= F.col("words") * share[0]
 
 
 def repetitive(df: DataFrame, id_col: str, source_col: str, fields: Sequence[str], share: tuple[int, int] = (1, 3)) -> DataFrame:
     """(id, field) of the rejected values whose repeated share is at least *share*."""
-    return outliers(df, id_col, source_col, fields, share).filter(F.col("rejected") & (F.col("repeated") * share[1] >= F.col("words") * share[0])).select("id", "field")
+    return outliers(df, id_col, source_col, fields).filter(F.col("rejected") & _shares(share)).select("id", "field")
+
+
+def recall(df: DataFrame, id_col: str, source_col: str, fields: Sequence[str], share: tuple[int, int] = (1, 3)) -> DataFrame:
+    """(lang, source, n_values, n_rejected, n_repetitive, n_both): what the rejection finds of the values with the share, without the exact check."""
+    return outliers(df, id_col, source_col, fields).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("rejected").alias("n_rejected"), F.count_if(_shares(share)).alias("n_repetitive"), F.count_if(F.col("rejected") & _shares(share)).alias("n_both"))

@@ -5,8 +5,9 @@ end is missing, inside a sentence, or shaped like a heading.  A corpus
 vocabulary of all values, without their final words, makes a trie, kept as rows;
 a final word that is no known word but a proper prefix of known ones is the rest
 of a cut word.  Lengths at which the values of a source end unfinished far more
-often than at the lengths around are the limits of its field; they decide for
-values that are shaped like a heading.
+often than at the lengths around are the limits of its field.  Every value that
+doesn't end finished is scored by the trie, the limits and what its end leaves
+open; ``by_evidence`` reports what each decides.
 
 Defined results of odd input: null, empty and blank values are never cut; a
 value that ends with a finished sentence, list entry, heading, caption, table,
@@ -25,11 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageflow.llm.vocabulary import count_words, trie_nodes
+from pageflow.session import checkpointed
 
 #: A word that occurs less often is not known.
 MIN_COUNT = 3
 #: A length is a limit if so many values end there unfinished, and so many times as many as at the lengths within REACH.
 LIMIT_ROWS, LIMIT_TIMES, REACH = 8, 5, 10
+#: What each piece of evidence adds to a value's score, and the score from which it is cut.
+WEIGHTS, CUT_SCORE = {"rest_of_word": 1.0, "at_limit": 1.0, "open": 1.0}, 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 _LAST = re.compile(r"(?<![^\W\d_])[^\W\d_]+$")
 _STOP = ".!?…。！？．"
@@ -124,21 +128,38 @@ def field_limits(state: DataFrame) -> DataFrame:
     return by.withColumn("near", F.sum("open").over(around) - F.col("open")).filter((F.col("open") >= LIMIT_ROWS) & (F.col("open") * 2 * REACH >= LIMIT_TIMES * F.col("near"))).select("tbl", "source", "chars")
 
 
-def judged(values: DataFrame) -> DataFrame:
-    """(tbl, row_id, source, cut): every non-empty value with the verdict."""
-    state = ends(values)
-    # Only headings need the trie; sentences and tables are cut whatever their last word is.
-    plain = state.filter("state <> 'heading'").select("tbl", "row_id", "source", (F.col("state") != "").alias("cut"))
-    heads = state.filter("state = 'heading'")
+def evidence(values: DataFrame) -> DataFrame:
+    """(tbl, row_id, source, state, rest_of_word, at_limit, score) of every non-empty value.
+
+    Each value that doesn't end finished is scored by the trie (its final word
+    is unknown and a proper prefix of known words), by the limits (its length is
+    one of its source's field) and by what its end leaves open (a sentence or a
+    table); a value shaped like a heading leaves nothing open by itself.
+    """
+    state = checkpointed(ends(values))
     nodes = trie_nodes(count_words(values, ["text"], known_words).filter(F.col("n") >= MIN_COUNT)).withColumnRenamed("prefix", "word")
     limits = field_limits(state).withColumn("limit", F.lit(True))
     rest_of_word = ~F.coalesce("known", F.lit(False)) & (F.coalesce("below", F.lit(0)) > 0)
-    checked = (
-        heads.join(nodes, "word", "left")
-        .join(limits, (heads.tbl == limits.tbl) & heads.source.eqNullSafe(limits.source) & (heads.chars == limits.chars), "left")
-        .select(heads.tbl, heads.row_id, heads.source, (rest_of_word | F.col("limit").isNotNull()).alias("cut"))
+    opened = state.filter("state <> ''")
+    scored = (
+        opened.join(nodes, "word", "left")
+        .join(limits, (opened.tbl == limits.tbl) & opened.source.eqNullSafe(limits.source) & (opened.chars == limits.chars), "left")
+        .select(opened.tbl, opened.row_id, opened.source, "state", rest_of_word.alias("rest_of_word"), F.col("limit").isNotNull().alias("at_limit"))
     )
-    return plain.unionByName(checked)
+    done = state.filter("state = ''").select("tbl", "row_id", "source", "state", F.lit(False).alias("rest_of_word"), F.lit(False).alias("at_limit"))
+    score = WEIGHTS["rest_of_word"] * F.col("rest_of_word").cast("double") + WEIGHTS["at_limit"] * F.col("at_limit").cast("double") + WEIGHTS["open"] * F.col("state").isin("sentence", "table").cast("double")
+    return scored.unionByName(done).withColumn("score", score)
+
+
+def judged(values: DataFrame) -> DataFrame:
+    """(tbl, row_id, source, cut): every non-empty value with the verdict."""
+    return evidence(values).select("tbl", "row_id", "source", (F.col("score") >= CUT_SCORE).alias("cut"))
+
+
+def by_evidence(values: DataFrame) -> DataFrame:
+    """(tbl, state, rest_of_word, at_limit, n_values, n_cut): how many values each combination of the evidence decides."""
+    cut = F.count_if(F.col("score") >= CUT_SCORE).alias("n_cut")
+    return evidence(values).groupBy("tbl", "state", "rest_of_word", "at_limit").agg(F.count(F.lit(1)).alias("n_values"), cut)
 
 
 def rates(values: DataFrame) -> DataFrame:

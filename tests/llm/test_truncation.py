@@ -60,5 +60,13 @@ def test_field_limit_decides_for_headings(spark):
     assert got[50] and all(got[i] for i in range(20))
 
 
+def test_evidence_of_every_open_value(spark):
+    rows = [("b", i, "w1", "text", "The granary and the harbour were read in the council again.") for i in range(10)]
+    rows += [("b", 20, "w1", "text", "It stood by the gran"), ("b", 21, "w1", "text", "It stood by the granary"), ("b", 22, "w1", "paragraph_title", "The Harbour")]
+    got = {r.row_id: (r.state, r.rest_of_word, r.at_limit, r.score) for r in truncation.evidence(values(spark, rows)).filter("state <> ''").collect()}
+    assert got == {20: ("sentence", True, False, 2.0), 21: ("sentence", False, False, 1.0), 22: ("heading", False, False, 0.0)}
+    assert sum(r.n_cut for r in truncation.by_evidence(values(spark, rows)).collect()) == 2
+
+
 def test_empty_table(spark):
     assert truncation.judged(values(spark, [])).count() == 0
