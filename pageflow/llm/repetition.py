@@ -42,7 +42,7 @@ RUN, HAN_RUN = 6, 12
 #: The share of a group that the estimate is made from: half, so that no minority of a group can shift it.
 CORE = 0.5
 #: First guesses, steps before the best is chosen, and the fall of the determinant (as a share) below which a group is done.
-STARTS, TRIAL, SETTLED = 4, 2, 1e-3
+STARTS, TRIAL, SETTLED = 4, 2, 1e-2
 #: Steps after which the estimate stands in any case; each lowers the determinant, so it only becomes better until then.
 MAX_STEPS = 30
 #: A group of fewer values uses the estimate of all.
@@ -138,7 +138,7 @@ def _step(stats: DataFrame, model: DataFrame, key: Sequence[str]) -> DataFrame:
     near = at.join(at.groupBy(*key).agg(F.percentile_approx("d2", CORE).alias("limit")), list(key)).filter("d2 <= limit")
     m = near.groupBy(*key).agg(*_moments())
     cov = [((F.col(f"p{i}{j}") - F.col(f"m_{_DIMS[i]}") * F.col(f"m_{_DIMS[j]}")) * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in _PAIRS]
-    return checkpointed(_with_inverse(m.select(*key, *[f"m_{x}" for x in _DIMS], *cov), key))
+    return _with_inverse(m.select(*key, *[f"m_{x}" for x in _DIMS], *cov), key)
 
 
 def mcd(stats: DataFrame) -> DataFrame:
@@ -153,11 +153,11 @@ def mcd(stats: DataFrame) -> DataFrame:
     several = [*_KEY, "start"]
     model = checkpointed(_with_inverse(_starts(own), several))
     for _ in range(TRIAL):
-        model = _step(own, model, several)
+        model = checkpointed(_step(own, model, several))
     best = F.min(F.struct("det", "start")).over(Window.partitionBy(*_KEY))
     model = checkpointed(model.withColumn("_best", best["start"]).filter("start = _best").drop("_best", "start"))
-    for _ in range(MAX_STEPS):
-        after = _step(own, model, _KEY)
+    for _ in range(MAX_STEPS // 2):
+        after = checkpointed(_step(own, _step(own, model, _KEY), _KEY))
         before = model.select(*_KEY, F.col("det").alias("before"))
         model = after
         if after.join(before, _KEY).filter(F.col("before") - F.col("det") > SETTLED * F.col("before")).isEmpty():
