@@ -142,7 +142,7 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
+    return mixing.mixed(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "mix_targets")).drop("membership").withColumnRenamed("id", "doc_id")
 
 
 @query
@@ -151,6 +151,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mixed(load_table(spark, sf_dir, "documents"), targets), targets)
 
 
+@query
+def p9_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.held_out(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.frontier(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "mix_targets"))
+
+
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.occurrences(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "name_list")).selectExpr("id as doc_id", "start_char", "kind")

@@ -111,3 +111,39 @@ def test_classifier_knows_clear_cases(spark):
     model = mixing.fit_classifier(docs, ["a", "b"])
     got = [r.post for r in mixing.posteriors(spark.createDataFrame([(1, "the ship in the port"), (2, "corn and mill"), (3, None)], "id bigint, text string"), model).orderBy("id").collect()]
     assert got[0][0] > 0.9 and got[1][1] > 0.9 and abs(sum(got[2]) - 1) < 1e-9
+
+
+def test_chinese_characters_are_words():
+    assert len(mixing.hashed_words("灯塔抄本")) == 4 and len(mixing.hashed_words("the 灯 ship")) == 3
+
+
+def test_memberships_are_soft_and_bounded(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([0.5, 0.3, 0.1, 0.06, 0.04],), ([0.0, 0.0, 1.0, 0.0, 0.0],), ([0.2, 0.2, 0.2, 0.2, 0.2],)], "post array<double>")
+    got = [r.m for r in df.select(mixing.membership(F.col("post"), 4).alias("m")).collect()]
+    assert got == [[0.5, 0.3125, 0.125, 0.0], [0.0, 0.0, 1.0, 0.0], [0.1875, 0.1875, 0.1875, 0.0]]
+
+
+def test_soft_documents_count_by_their_parts(spark):
+    rng = random.Random(5)
+    words = {"aaa": ["sea", "ship", "port", "mast"], "bbb": ["mill", "corn", "field", "flour"], "other": ["law", "court", "judge", "jury"]}
+    rows = [(i, " ".join(rng.choice(words[s]) for _ in range(20)), s) for i, s in enumerate(["aaa", "bbb", "other"] * 60)]
+    rows += [(1000 + i, " ".join(rng.choice(words["aaa"] + words["bbb"]) for _ in range(3)), None) for i in range(30)] + [(2000 + i, "law court judge jury", None) for i in range(5)]
+    targets = spark.createDataFrame([("aaa", 0.7, 2), ("bbb", 0.3, 3)], "source string, target_share double, max_repeats int")
+    got = mixing.mixed(documents(spark, rows), targets)
+    by = {r.id: r for r in got.collect()}
+    assert all(by[2000 + i].uses == 0 for i in range(5))  # they belong to the class of all other sources
+    assert any(0 < by[1000 + i].membership["aaa"] < 1 for i in range(30))
+    assert all(r.uses <= 2 for r in by.values() if r.membership["aaa"] > 0)
+    report = {r.source: r for r in mixing.shares(got, targets).collect()}
+    assert abs(report["aaa"].expected_share - 0.7) < 0.01 and abs(report["bbb"].expected_share - 0.3) < 0.01
+    known = {r.source: r for r in mixing.held_out(documents(spark, rows), targets).collect()}
+    assert sum(r.n_right for r in known.values()) >= 0.95 * sum(r.n_docs for r in known.values())
+
+
+def test_frontier(spark):
+    docs = documents(spark, [(i, "word " * 10, "aaa") for i in range(10)] + [(20 + i, "word " * 10, "bbb") for i in range(90)])
+    targets = spark.createDataFrame([("aaa", 0.5, 1), ("bbb", 0.5, 1), ("ccc", 0.3, 1)], "source string, target_share double, max_repeats int")
+    got = {(r.factor, r.source): r.reachable_share for r in mixing.frontier(docs, targets).collect()}
+    assert got[1, "aaa"] == got[1, "bbb"] == 0.5 and got[5, "aaa"] == round(1 / 6, 8) and got[10, "bbb"] == 0.9
