@@ -33,16 +33,20 @@ from pageflow.llm import semicrf
 from pageflow.llm.semicrf import Segment
 
 TRAINING = 1500
+#: Characters that are searched for the part of a name before another; no part of a name is as long.
+LONGEST_PART = 64
 #: A word is common if it occurs in lower case so many times.
 COMMON_COUNT = 3
 
 _CAP = re.compile(r"(?<![\w@.+])[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?(?![\w@])")
 _BEFORE_NAME = re.compile(r"(?:(?<![\w.@+-])([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?)\s(?:([A-ZÀ-ÖØ-Þ])\.\s)?|(?<![\w.@+-])([A-ZÀ-ÖØ-Þ])\.\s)$")
 _AFTER_NAME = re.compile(r"(?:\s([A-ZÀ-ÖØ-Þ])\.)?\s([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?)(?![\w@])")
+_BEFORE_WORD = re.compile(r"(?<![\w.@+-])([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?)\s$")
+_AFTER_WORD = re.compile(r"\s([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?)(?![\w@])")
 _INVERTED = re.compile(r",\s([A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?)(?![\w@.])")
 
 _AT = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|(?<=\w)\sat(?=\s[\w-]+\s+dot\s)", re.I)
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]*(?=\s{0,2}$)")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
 _DOMAIN = re.compile(r"\s{0,2}[A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.|\s{0,2}[(\[{]\s?dot\s?[)\]}]\s{0,2}|\s+dot\s+)[A-Za-z0-9][A-Za-z0-9-]*)+", re.I)
 
 _NUMBER = re.compile(r"(?<![\w.,/+-])(?:[+(](?=\d[\d\s().\-]{5})|\d(?=[\d\s().\-/]{7})|[A-Z](?=[A-Z0-9]?\s?[A-Z0-9]{1,2}\s?\d[\dA-Z\s]{3}))|(?<=[㐀-鿿：:|,;.“(])(?:[+(](?=\d[\d\s().\-]{5})|\d(?=[\d\s().\-/]{7})|[A-Z](?=[A-Z0-9]?\s?[A-Z0-9]{1,2}\s?\d[\dA-Z\s]{3}))")
@@ -151,7 +155,7 @@ class Finder:
             s, e = m.span()
             own = self._part(m[0])
             starts: list[tuple[int, str]] = [(s, own)]
-            if b := _BEFORE_NAME.search(text, max(0, s - 44), s):
+            if b := _BEFORE_NAME.search(text, max(0, s - 2 * LONGEST_PART), s):
                 if b[3]:
                     starts.append((b.start(3), "I " + own))
                 else:
@@ -159,11 +163,18 @@ class Finder:
                     if b[2]:
                         starts.append((b.start(2), "I " + own))
             spans = [(a, e, sig) for a, sig in starts]
+            for at, sig in starts[:]:  # a second given name, or a name of two words before the family name
+                if at < s and (b := _BEFORE_WORD.search(text, max(0, at - LONGEST_PART), at)):
+                    spans.append((b.start(1), e, f"{self._part(b[1])} {sig}"))
             if a := _AFTER_NAME.match(text, e):
                 spans.append((s, a.end(), own + (" I " if a[1] else " ") + self._part(a[2])))
+                if (c := _AFTER_WORD.match(text, a.end())) and not a[1]:
+                    spans.append((s, c.end(), f"{own} {self._part(a[2])} {self._part(c[1])}"))
+                for at, sig in starts[1:2]:  # the listed part stands in the middle
+                    spans.append((at, a.end(), f"{sig}{' I ' if a[1] else ' '}{self._part(a[2])}"))
             if a := _INVERTED.match(text, e):
                 spans.append((s, a.end(), own + ", " + self._part(a[1])))
-            if own != "F" and (b := re.compile(r"(?<![\w@.+-])([A-ZÀ-ÖØ-Þ][^\W\d_]+),\s$").search(text, max(0, s - 30), s)):
+            if own != "F" and (b := re.compile(r"(?<![\w@.+-])([A-ZÀ-ÖØ-Þ][^\W\d_]+),\s$").search(text, max(0, s - LONGEST_PART), s)):
                 spans.append((b.start(1), e, self._part(b[1]) + ", " + own))
             for x, y, sig in spans:
                 if (x, y) in seen:
@@ -184,15 +195,20 @@ class Finder:
         low = text.lower()
         if "@" not in text and not any(h in low for h in ("at)", "at]", "at}", "at>", "at )", "at ]", "at\n", "dot")):
             return
+        reach = 0
         for m in _AT.finditer(text):
-            low = max(0, m.start() - 72)
-            a = None
-            for a in _LOCAL.finditer(text[low : m.start()]):
-                pass
-            b = _DOMAIN.match(text, m.end()) if a else None
-            if b:
+            end = m.start()
+            while end > reach and end > m.start() - 2 and text[end - 1].isspace():
+                end -= 1
+            start = end
+            while start > reach and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            while start < end and text[start] in "._+-":
+                start += 1
+            reach = m.start()  # no character is looked at twice
+            if start < end and (b := _DOMAIN.match(text, m.end())):
                 words = m[0].strip("()[]{}<> \n").lower()
-                yield Segment(low + a.start(), b.end(), "email", ("e", f"e:{words}", f"e.{'plain' if '.' in b[0] else 'dot'}"))
+                yield Segment(start, b.end(), "email", ("e", f"e:{words}", f"e.{'plain' if '.' in b[0] else 'dot'}"))
 
     def _numbers(self, text: str) -> Iterator[Segment]:
         for m in _NUMBER.finditer(text):
@@ -287,7 +303,9 @@ def _filled(rng: random.Random, slot: str, given: list[str], family: list[str])
             name = f"{pick('ABDEGHJKLMNPRSTVW')}. {pick(family).title()}"
         elif style < 0.74:
             name = f"{g} {pick('ABDEGHJKLMNPRSTVW')}. {f}"
-        elif style < 0.86:
+        elif style < 0.80:
+            name = f"{g} {pick((pick(given).title(), new_name()))} {f}"
+        elif style < 0.88:
             name = f"{f}, {g}"
         else:
             name = f"{g}-{pick(given).title()} {f}"
@@ -321,28 +339,30 @@ def _filled(rng: random.Random, slot: str, given: list[str], family: list[str])
     if kind == "ADDR":
         street = pick(_PLAIN_WORDS).title()
         if lang == "EN":
-            return f"{pick(('', '', 'Flat 3, ', 'No. '))}{k}{pick(('', '', 'B', '-' + n(2)))} {street} {pick(('Street', 'Road', 'Lane', 'Row', 'Avenue', 'Rd.', 'St.'))}{pick(('', ', ' + town(), ', ' + town() + ' HQ6 2ZZ', ', ' + town() + ' 00' + n(3)))}"
+            return f"{pick(('', '', 'Flat 3, ', 'No. '))}{k}{pick(('', '', 'B', '-' + n(2)))} {street} {pick(('Street', 'Road', 'Lane', 'Row', 'Avenue', 'Rd.', 'St.'))}{pick(('', ', ' + town(), ', ' + town() + f' {pick("BKLNS")}{n(1)} {n(1)}{pick("ABXZ")}{pick("ABXZ")}', ', ' + town() + ' ' + n(5)))}"
         if lang == "DE":
-            return f"{pick((street + 'straße', street + 'weg', 'Am ' + street + 'platz'))} {k}{pick(('', 'a'))}, {pick(('', '00' + n(3) + ' ', 'D-00' + n(3) + ' '))}{town()}"
+            return f"{pick((street + 'straße', street + 'weg', 'Am ' + street + 'platz'))} {k}{pick(('', 'a'))}, {pick(('', n(5) + ' ', 'D-' + n(5) + ' '))}{town()}"
         if lang == "FR":
-            return f"{k}{pick(('', ' bis'))}, {pick(('rue des', 'quai des', 'avenue du'))} {street}, {pick(('', '00' + n(3) + ' '))}{town()}"
+            return f"{k}{pick(('', ' bis'))}, {pick(('rue des', 'quai des', 'avenue du'))} {street}, {pick(('', n(5) + ' '))}{town()}"
         if lang == "RU":
-            return f"ул. {pick(('Липовая', 'Речная', 'Садовая'))}, д. {k}{pick(('', ', кв. ' + n(2)))}"
-        return f"{pick(('临河市', '云岭县', '白石镇'))}{pick(('柳荫', '磨坊'))}{pick('路街')}{k}号"
+            return f"ул. {pick(('Берёзовая', 'Озёрная', 'Полевая', 'Школьная'))}, д. {k}{pick(('', ', кв. ' + n(2)))}"
+        return f"{pick('北南东西')}{pick('山江湖桥')}{pick('市县镇区')}{pick('青白金大')}{pick('松竹石云')}{pick('路街巷')}{k}号"
+    d = lambda k: rng.choice("123456789") + n(k - 1)
     if kind == "PHONE":
         return {
-            "EN": pick((f"+44 20 7946 0{n(3)}", f"020 7946 0{n(3)}", f"(020)79460{n(3)}", f"(01632) 960{n(3)}", f"01632-960 {n(3)}", f"+1 (212) 555-01{n(2)}", f"(212) 555-01{n(2)}", f"212.555.01{n(2)}", f"001 212 555 01{n(2)}", f"+1-212-555-01{n(2)}", f"212-555-01{n(2)}")),
-            "DE": pick((f"+49 30 23125 {n(3)}", f"(030) 23125 {n(3)}", f"030/23125-{n(3)}", f"0049 30 23125{n(3)}")),
-            "FR": pick((f"+33 1 99 00 {n(2)} {n(2)}", f"01 99 00 {n(2)} {n(2)}", f"01.99.00.{n(2)}.{n(2)}", f"0199 00{n(4)}")),
-            "RU": pick((f"+7 (000) 555-{n(2)}-{n(2)}", f"8-000-555-{n(2)}-{n(2)}", f"8 (000) 555-{n(2)}-{n(2)}")),
-            "ZH": pick((f"+86 10 5550 01{n(2)}", f"(010) 5550-01{n(2)}", f"010-555001{n(2)}")),
+            "EN": pick((f"+44 {d(2)} {d(4)} {n(4)}", f"0{d(2)} {d(4)} {n(4)}", f"(0{d(2)}){n(8)}", f"(0{d(4)}) {n(6)}", f"0{d(4)}-{n(3)} {n(3)}", f"+1 ({d(3)}) {n(3)}-{n(4)}", f"({d(3)}) {n(3)}-{n(4)}", f"{d(3)}.{n(3)}.{n(4)}", f"001 {d(3)} {n(3)} {n(4)}", f"+1-{d(3)}-{n(3)}-{n(4)}", f"{d(3)}-{n(3)}-{n(4)}")),
+            "DE": pick((f"+49 {d(2)} {n(5)} {n(3)}", f"(0{d(2)}) {n(5)} {n(3)}", f"0{d(2)}/{n(5)}-{n(3)}", f"0049 {d(2)} {n(8)}")),
+            "FR": pick((f"+33 {d(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{d(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{d(1)}.{n(2)}.{n(2)}.{n(2)}.{n(2)}", f"0{d(1)}{n(2)} {n(6)}")),
+            "RU": pick((f"+7 ({n(3)}) {n(3)}-{n(2)}-{n(2)}", f"8-{n(3)}-{n(3)}-{n(2)}-{n(2)}", f"8 ({n(3)}) {n(3)}-{n(2)}-{n(2)}")),
+            "ZH": pick((f"+86 {d(2)} {n(4)} {n(4)}", f"(0{d(2)}) {n(4)}-{n(4)}", f"0{d(2)}-{n(8)}")),
         }[lang]
+    big = lambda: rng.choice("ABCDEFGHKLMNPRSTWXYZ")
     return {
-        "EN": pick((f"666-{n(2)}-{n(4)}", f"666 {n(2)} {n(4)}", f"666{n(6)}", f"QQ{n(6)}B", f"QQ {n(2)} {n(2)} {n(2)} C")),
-        "DE": pick((f"L0X{n(6)}", f"L0 X{n(6)}", f"T00{n(6)}")),
-        "FR": pick((f"{pick('12')} {n(2)} 99 {n(2)} {n(3)} {n(3)} {n(2)}", f"{pick('12')}{n(2)}99{n(2)}{n(3)}{n(3)}{n(2)}")),
-        "RU": pick((f"0000 {n(6)}", f"00 00 {n(6)}")),
-        "ZH": f"990000{pick(('19', '20'))}{n(2)}{n(7)}{pick('0123456789X')}",
+        "EN": pick((f"{n(3)}-{n(2)}-{n(4)}", f"{n(3)} {n(2)} {n(4)}", n(9), f"{big()}{big()}{n(6)}{big()}", f"{big()}{big()} {n(2)} {n(2)} {n(2)} {big()}")),
+        "DE": pick((f"{big()}{n(1)}{big()}{n(6)}", f"{big()}{n(1)} {big()}{n(6)}", f"{big()}{n(8)}")),
+        "FR": pick((f"{pick('12')} {n(2)} {n(2)} {n(2)} {n(3)} {n(3)} {n(2)}", f"{pick('12')}{n(12)}{n(2)}")),
+        "RU": pick((f"{n(4)} {n(6)}", f"0{n(3)} {n(6)}", f"{n(2)} {n(2)} {n(6)}", f"0{n(1)} {n(2)} {n(6)}")),
+        "ZH": f"{d(6)}{pick(('19', '20'))}{n(2)}{n(7)}{pick('0123456789X')}",
     }[lang]
 
 

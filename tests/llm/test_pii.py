@@ -42,6 +42,26 @@ def test_cases(finder, text, want):
     assert all(g.startswith(w) for (_, g), (_, w) in zip(got, want, strict=True)), got
 
 
+@pytest.mark.parametrize("name", ["Elvella Karika Varnworth", "Elvella Bramlin Varnworth", "Osten Elvella Varnworth", "Varnworth, Elvella", "K. Limgate", "Nivin B. Limgate"])
+def test_names_of_several_parts(finder, name):
+    for text in (f"The key is kept by {name}; it was read.", f"Questions go to {name} in April."):
+        assert [text[s.start : s.end] for s in finder(text)] == [name]
+
+
+def test_local_parts_of_any_length(finder):
+    for local in ("a" * 200, "k.limgate-" * 20 + "x"):
+        text = f"Reply to <{local}@mill.invalid> or mailto:{local} @ mill.invalid now."
+        got = finder(text)
+        assert [s.kind for s in got] == ["email", "email"] and all(text[s.start :].startswith(local) for s in got)
+    assert finder("six bales @ 15 shillings, at dot") == []
+
+
+def test_numbers_of_other_blocks(finder):
+    """Numbers outside the blocks that are kept for examples are found as well."""
+    for text, kind, value in (("Call +44 113 4960 1234 today.", "phone", "+44 113 4960 1234"), ("Ring (0121) 496 0123 and ask.", "phone", "(0121) 496 0123"), ("Passport of the owner: AB 98 76 54 D, shown.", "id_number", "AB 98 76 54 D"), ("Паспорт 4510 123456, рядом.", "id_number", "4510 123456")):
+        assert [(s.kind, text[s.start : s.end]) for s in finder(text)] == [(kind, value)], text
+
+
 def test_held_out_accuracy(finder):
     right = wrong = missed = 0
     for segments, gold in pii.training_examples(finder, 400, seed=77):
