@@ -45,6 +45,8 @@ CORE = 0.5
 STARTS, TRIAL, SETTLED = 4, 2, 1e-2
 #: Steps after which the estimate stands in any case; each lowers the determinant, so it only becomes better until then.
 MAX_STEPS = 30
+#: Estimates (of a dozen numbers each) that are broadcast at most; more are joined by keys with so many salts.
+FEW, SALTS = 50_000, 64
 #: A group of fewer values uses the estimate of all.
 LEAST = 30
 #: The 0.975 quantile of chi-square with three degrees of freedom, and the factor that makes the core's covariance consistent.
@@ -132,10 +134,18 @@ def _starts(stats: DataFrame) -> DataFrame:
     return by.select(*_KEY, F.explode(F.array(*guesses[:STARTS])).alias("g")).select(*_KEY, "g.*")
 
 
-def _step(stats: DataFrame, model: DataFrame, key: Sequence[str]) -> DataFrame:
+def _of_group(rows: DataFrame, groups: DataFrame, key: Sequence[str], few: bool) -> DataFrame:
+    """The rows with what is known of their group: *few* groups are broadcast, many are joined by salted keys, so that no group is one task."""
+    if few:
+        return rows.join(F.broadcast(groups), list(key))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*_DIMS), F.lit(SALTS)).cast("int"))
+    return salted.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "_salt"]).drop("_salt")
+
+
+def _step(stats: DataFrame, model: DataFrame, key: Sequence[str], few: bool) -> DataFrame:
     """One concentration step: the estimate from the core of each group, regularised by the floors."""
-    at = stats.join(model, _KEY).withColumn("d2", _distance())
-    near = at.join(at.groupBy(*key).agg(F.percentile_approx("d2", CORE).alias("limit")), list(key)).filter("d2 <= limit")
+    at = _of_group(stats, model, _KEY, few).withColumn("d2", _distance())
+    near = _of_group(at, at.groupBy(*key).agg(F.percentile_approx("d2", CORE).alias("limit")), key, few).filter("d2 <= limit")
     m = near.groupBy(*key).agg(*_moments())
     cov = [((F.col(f"p{i}{j}") - F.col(f"m_{_DIMS[i]}") * F.col(f"m_{_DIMS[j]}")) * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in _PAIRS]
     return _with_inverse(m.select(*key, *[f"m_{x}" for x in _DIMS], *cov), key)
@@ -147,17 +157,18 @@ def mcd(stats: DataFrame) -> DataFrame:
     Runs jobs: the steps go on until every group's determinant has settled.
     """
     sizes = stats.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") >= LEAST).select(*_KEY)
+    large = sizes.filter(F.col("n") >= LEAST)
     every = stats.select(F.lit(ALL).alias("lang"), F.lit(ALL).alias("source_key"), *_DIMS)
-    own = checkpointed(stats.join(large, _KEY, "left_semi").select(*_KEY, *_DIMS).unionByName(every))
+    own = checkpointed(_of_group(stats, large, _KEY, large.count() <= FEW).select(*_KEY, *_DIMS).unionByName(every))
     several = [*_KEY, "start"]
     model = checkpointed(_with_inverse(_starts(own), several))
+    few = model.count() <= FEW
     for _ in range(TRIAL):
-        model = checkpointed(_step(own, model, several))
+        model = checkpointed(_step(own, model, several, few))
     best = F.min(F.struct("det", "start")).over(Window.partitionBy(*_KEY))
     model = checkpointed(model.withColumn("_best", best["start"]).filter("start = _best").drop("_best", "start"))
     for _ in range(MAX_STEPS // 2):
-        after = checkpointed(_step(own, _step(own, model, _KEY), _KEY))
+        after = checkpointed(_step(own, _step(own, model, _KEY, few), _KEY, few))
         before = model.select(*_KEY, F.col("det").alias("before"))
         model = after
         if after.join(before, _KEY).filter(F.col("before") - F.col("det") > SETTLED * F.col("before")).isEmpty():
@@ -171,7 +182,13 @@ def outliers(df: DataFrame, id_col: str, source_col: str, fields: Sequence[str])
     model = mcd(stats)
     pooled = model.filter(F.col("lang") == ALL).select(F.struct(*model.columns[2:]).alias("_all"))
     own = model.filter(F.col("lang") != ALL).select(*_KEY, F.struct(*model.columns[2:]).alias("_own"))
-    at = stats.join(own, _KEY, "left").join(F.broadcast(pooled))  # one row for all
+    few = own.count() <= FEW
+    if few:
+        at = stats.join(F.broadcast(own), _KEY, "left")
+    else:
+        salt = F.pmod(F.xxhash64(*_DIMS), F.lit(SALTS)).cast("int")
+        at = stats.withColumn("_salt", salt).join(own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*_KEY, "_salt"], "left")
+    at = at.join(F.broadcast(pooled))  # one row for all
     d2 = F.greatest(F.coalesce(_distance("_own."), _distance("_all.")), _distance("_all."), F.lit(0.0))
     return at.withColumn("d2", d2).select("id", "field", "lang", "source", "words", "repeated", F.sqrt("d2").alias("distance"), (F.col("d2") > CHI2).alias("rejected"))
 

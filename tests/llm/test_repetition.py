@@ -76,3 +76,13 @@ def test_determinant_is_the_least_of_the_starts(spark):
     stats = spark.createDataFrame([("en", "s", *r) for r in rows], "lang string, source_key string, x1 double, x2 double, x3 double")
     m = repetition.mcd(stats).filter("lang = 'en'").first()
     assert abs(m.m_x1 - 0.1) < 0.02 and abs(m.m_x2 - 2) < 0.1 and abs(m.m_x3 - 5) < 0.1
+
+
+def test_many_groups_are_joined_by_salted_keys(spark, monkeypatch):
+    rng = random.Random(9)
+    phrase = "one two three four five six seven. "
+    rows = [(i, "ab"[i % 2], phrase * 6 if i % 10 == 0 else unique(rng, 12), None) for i in range(150)]
+    few = sorted((r.id, round(r.distance, 6)) for r in repetition.outliers(pages(spark, rows), "page_result_id", "origin", ["text"]).collect())
+    monkeypatch.setattr(repetition, "FEW", 0)
+    many = sorted((r.id, round(r.distance, 6)) for r in repetition.outliers(pages(spark, rows), "page_result_id", "origin", ["text"]).collect())
+    assert few == many and len(few) == 150
