@@ -55,7 +55,7 @@ SMOOTHING, CALIBRATION, WEIGHTS = 5.0, 5, (1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1,
 LEADING, LEVELS = 3, 16
 #: The fit ends when the targets are met to this share, after so many gradient steps at the latest; so many go between two checkpoints.
 TOLERANCE, ITERATIONS, STRETCH = 1e-6, 96, 8
-BUCKETS = 256
+BUCKETS, FEW = 256, 50_000
 #: Rounds in which small documents fill what is left; each leaves less than the smallest document that may be used again.
 FILLS = 3
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
@@ -262,7 +262,14 @@ def mixed(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
     total = min(mass[d] * wanted[d][1] / (wanted[d][0] / shares_sum) for d in usable)
     groups = checkpointed(members.filter("cap > 0").groupBy("post", "cap").agg(F.sum("tokens").cast("double").alias("tokens")))
     rates = fit_rates(groups, [total * wanted[d][0] / shares_sum for d in usable])
-    rated = members.filter("cap > 0").join(rates, ["post", "cap"]).select("id", "domain", "tokens", "cap", "rate")
+    rates = checkpointed(rates)
+    # Memberships are bounded by LEADING and LEVELS; so many are broadcast, more are joined by salted keys, so that no source is one task.
+    if rates.count() <= FEW:
+        rated = members.filter("cap > 0").join(F.broadcast(rates), ["post", "cap"])
+    else:
+        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
+        rated = members.filter("cap > 0").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")).join(salted, ["post", "cap", "_salt"])
+    rated = rated.select("id", "domain", "tokens", "cap", "rate")
     uses = _whole_uses(rated)
     all_rows = members.select("id", "source", "domain", "tokens", F.map_from_arrays(names, "post").alias("membership"))
     return all_rows.join(uses.select("id", "uses"), "id", "left").select("id", "source", "domain", "tokens", F.when(F.col("tokens") > 0, F.coalesce("uses", F.lit(0))).otherwise(0).alias("uses"), "membership")

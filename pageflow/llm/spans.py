@@ -7,8 +7,9 @@
 2. *Join.*  Records that are copies of each other in all their fields are one
    class.  Anchors are reduced to one row per (hash, class) before they are
    shuffled, then joined with themselves on the hash.
-3. *Extend.*  Each pair of classes is extended both ways from every place of
-   its anchors to the maximal repeats; those of ``min_len`` or more stay.
+3. *Extend.*  Each pair of classes is extended both ways on every diagonal on
+   which one of its anchors has places; the maximal repeats of ``min_len`` or more
+   stay.
 
 Defined results of odd input: null and short fields have no anchors; a span
 that a record shares only with itself (its other field included) is no result;
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageflow.session import checkpointed
+
 MIN_LEN = 200
 _FIELD_BITS = 40
 _MASK = (1 << _FIELD_BITS) - 1
-#: Beyond so many pairs of places of one anchor a pair is compared by all its grams instead.
-MAX_PLACES = 4096
 #: A class of more copies is expanded in parts of about so many.
 COPIES = 1000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
@@ -76,21 +77,6 @@ def anchors(text: str, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen, order[np.searchsorted(hashes, chosen, sorter=order)]
 
 
-def _extend(s: str, t: str, i: int, j: int, k: int) -> tuple[int, int]:
-    """The (start in s, length) of the maximal repeat around s[i:i+k] == t[j:j+k]."""
-    a, b = i, j
-    while a >= 64 and b >= 64 and s[a - 64 : a] == t[b - 64 : b]:
-        a, b = a - 64, b - 64
-    while a and b and s[a - 1] == t[b - 1]:
-        a, b = a - 1, b - 1
-    e, f = i + k, j + k
-    while e + 64 <= len(s) and f + 64 <= len(t) and s[e : e + 64] == t[f : f + 64]:
-        e, f = e + 64, f + 64
-    while e < len(s) and f < len(t) and s[e] == t[f]:
-        e, f = e + 1, f + 1
-    return a, e - a
-
-
 def _places(s: str, gram: str) -> list[int]:
     out, i = [], s.find(gram)
     while i >= 0:
@@ -99,41 +85,50 @@ def _places(s: str, gram: str) -> list[int]:
     return out
 
 
-def _covered(s: str, t: str, min_len: int) -> list[tuple[int, int]]:
-    """Runs of *s* whose every place lies in a span of *min_len* that *t* has too; for texts with very many equal grams."""
-    hit = np.isin(gram_hashes(s, min_len), gram_hashes(t, min_len))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    return [(int(a), int(b - a + min_len - 1)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _runs(s: np.ndarray, t: np.ndarray, d: int, min_len: int) -> Iterator[tuple[int, int]]:
+    """(start in s, length) of the runs of *min_len* or more with s[i] == t[i - d]."""
+    low, high = max(0, d), min(len(s), len(t) + d)
+    same = s[low:high] == t[low - d : high - d]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+    starts, stops = edges[::2], edges[1::2]
+    for k in np.flatnonzero(stops - starts >= min_len):
+        yield int(starts[k]) + low, int(stops[k] - starts[k])
 
 
 def common_spans(a: Sequence[str | None], b: Sequence[str | None], seeds: Sequence[int], k: int, min_len: int) -> list[tuple[int, int, int, int, int]]:
-    """(field of a, start, field of b, start, length) of the maximal repeats around the seeds, places in *a*.
+    """(field of a, start, field of b, start, length) of the maximal repeats of *min_len* or more around the seeds, places in *a*.
 
-    Where an anchor has very many places, the covered runs of each side are
-    given instead, with -1 for the start in the other side.
+    All places of the seeds' grams in both texts only mark diagonals; each
+    marked diagonal is extended both ways in one comparison.  So the cost of
+    texts with very many equal grams follows their diagonals, of which there are
+    as many as characters, and not the pairs of places.
     """
-    spans: dict[tuple[int, int, int, int], int] = {}
-    seen: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-    for gram in {a[p >> _FIELD_BITS][p & _MASK : (p & _MASK) + k] for p in seeds}:
-        at_a = [(f, i) for f, s in enumerate(a) if s for i in _places(s, gram)]
-        at_b = [(f, j) for f, t in enumerate(b) if t for j in _places(t, gram)]
-        if len(at_a) * len(at_b) > MAX_PLACES:
-            texts = [(f, s, g, t) for f, s in enumerate(a) if s for g, t in enumerate(b) if t]
-            return [(f, i, g, -1, n) for f, s, g, t in texts for i, n in _covered(s, t, min_len)] + [(f, -1, g, j, n) for f, s, g, t in texts for j, n in _covered(t, s, min_len)]
-        for f, i in at_a:
-            for g, j in at_b:
-                known = seen.setdefault((f, g, i - j), [])
-                if any(x <= i < y for x, y in known):
-                    continue
-                start, n = _extend(a[f], b[g], i, j, k)
-                known.append((start, start + n))
-                if n >= min_len:
-                    spans[f, start, g, start - i + j] = n
-    return sorted((*key, n) for key, n in spans.items())
+    grams = {a[p >> _FIELD_BITS][p & _MASK : (p & _MASK) + k] for p in seeds}
+    out = []
+    for f, s in enumerate(a):
+        for g, t in enumerate(b):
+            if not s or not t:
+                continue
+            marked = np.zeros(len(s) + len(t), bool)
+            for gram in grams:
+                in_t = np.array(_places(t, gram), np.int64) if gram in t else ()
+                if len(in_t):
+                    for i in _places(s, gram):
+                        marked[i - in_t + len(t)] = True
+            if marked.any():
+                x, y = _codes(s), _codes(t)
+                for at in np.flatnonzero(marked):
+                    d = int(at) - len(t)
+                    out += [(f, i, g, i - d, n) for i, n in _runs(x, y, d, min_len)]
+    return sorted(out)
 
 
 class SharedSpans:
-    """Shared spans of a table's text fields; every step is a DataFrame built once."""
+    """Shared spans of a table's text fields; every step is a DataFrame built once.  Making one runs a job: the checkpoint of the class members."""
 
     def __init__(self, df: DataFrame, id_col: str, fields: Sequence[str], min_len: int = MIN_LEN):
         self.min_len, self.k, self.n = min_len, min_len // 2, len(fields)
@@ -142,7 +137,8 @@ class SharedSpans:
         rows = df.select(F.col(id_col).cast("bigint").alias("id"), *text).filter(F.col("id").isNotNull() & F.coalesce(*[F.col(f"f{i}") for i in range(self.n)]).isNotNull())
         parts = [x for i in range(self.n) for x in (F.coalesce(F.length(f"f{i}"), F.lit(-1)), F.coalesce(f"f{i}", F.lit("")))]
         self.rows = rows.withColumns({"c1": F.xxhash64(*parts), "c2": F.hash(*parts)})
-        self.members = self.rows.select("id", "c1", "c2")
+        # Narrow rows that every later step reads instead of hashing the texts again; their lineage is cut.
+        self.members = checkpointed(self.rows.select("id", "c1", "c2"))
 
     def classes(self) -> DataFrame:
         """(c1, c2, rep, n): each class of wholly equal records with its first id and its size."""
@@ -237,7 +233,7 @@ class SharedSpans:
     def shared_by_record(self) -> DataFrame:
         """(id, field, n_chars, n_shared): how many characters of each long field stand in other records too."""
         spans = self.class_spans()
-        sides = spans.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("field_a").alias("field"), F.col("start_a").alias("start"), "span_length"), F.struct(F.col("b").alias("rep"), F.col("field_b").alias("field"), F.col("start_b").alias("start"), "span_length"))).alias("s")).select("s.*").filter("start >= 0").distinct()
+        sides = spans.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("field_a").alias("field"), F.col("start_a").alias("start"), "span_length"), F.struct(F.col("b").alias("rep"), F.col("field_b").alias("field"), F.col("start_b").alias("start"), "span_length"))).alias("s")).select("s.*").distinct()
         w = Window.partitionBy("rep", "field").orderBy("start", F.col("stop").desc())
         reach = F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         merged = sides.withColumn("stop", F.col("start") + F.col("span_length")).withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest(reach, F.col("start")))).groupBy("rep", "field").agg(F.sum("new").cast("int").alias("merged"))

@@ -64,6 +64,28 @@ def test_periodic_text_is_finite(spark):
     assert {r.id: r.n_shared for r in shared.shared_by_record().collect()} == {1: 5000, 2: 300}
 
 
+def maximal(s, t, n):
+    out = []
+    for i in range(len(s)):
+        for j in range(len(t)):
+            if s[i] == t[j] and not (i and j and s[i - 1] == t[j - 1]):
+                k = 0
+                while i + k < len(s) and j + k < len(t) and s[i + k] == t[j + k]:
+                    k += 1
+                if k >= n:
+                    out.append((0, i, 0, j, k))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("s", "t"), [("ab" * 100, "x" + "ab" * 80 + "y"), ("a" * 150, "a" * 120 + "b" + "a" * 90), ("abc" * 40 + "z" * 50, "z" * 45 + "abc" * 30), (words(random.Random(4), 60) * 3, words(random.Random(4), 60) * 2)])
+def test_all_maximal_repeats_of_periodic_texts(s, t):
+    """More pairs of places than any bound: every maximal repeat is given with both its places."""
+    n = 20
+    h, places = spans.anchors(s, n // 2, n - n // 2 + 1)
+    shared = [int(p) for x, p in zip(h, places, strict=True) if x in set(spans.anchors(t, n // 2, n - n // 2 + 1)[0])]
+    assert spans.common_spans([s], [t], shared, n // 2, n) == maximal(s, t, n)
+
+
 def test_many_copies_are_expanded_in_parts(spark, monkeypatch):
     monkeypatch.setattr(spans, "COPIES", 7)
     s = words(random.Random(9), 250)
