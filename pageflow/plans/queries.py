@@ -11,7 +11,7 @@ from pageflow.functions import geometry as G
 from pageflow.functions import text as X
 from pageflow.functions.normalize import arrow_function
 from pageflow.functions.segments import script_runs, segments
-from pageflow.operators import blocktext, cells, layout, lines, nested, overlap, pages, rebuild, state, tables, validate
+from pageflow.operators import blocktext, cells, layout, lines, nested, overlap, pages, rebuild, records, recovery, state, tables, validate
 from pageflow.session import load_table
 from pageflow.sources import writers
 from pageflow.streaming import progress
@@ -70,6 +70,27 @@ def record_cells(spark: SparkSession, d: str) -> DataFrame:
     return blocktext.record_cells(load_table(spark, d, "middle_json")).select("record_id", "page_index", "container", "category", "cell_path", F.sha2("content", 256).alias("sha256"))
 
 
+_PAGES_SQL = r"""WITH v AS (SELECT record_id, body FROM middle_json WHERE body IS NOT NULL AND json_valid(body)), q AS (SELECT record_id, coalesce(json_extract(body, '$.pdf_info'), json_extract(body, '$.result.pdf_info')) AS j FROM v),
+    t AS (SELECT record_id, CASE WHEN json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$')::json ELSE j END AS j FROM q WHERE j IS NOT NULL),
+    a AS (SELECT record_id, CASE WHEN json_type(j) = 'OBJECT' THEN [j] WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') END AS l FROM t),
+    p AS (SELECT record_id, unnest(l) AS node, generate_subscripts(l, 1) - 1 AS i FROM a WHERE len(l) > 0)"""
+
+
+@query(_PAGES_SQL + " SELECT record_id, 'pdf_info[' || i || ']' AS node_path, greatest(0, coalesce(json_extract_string(node, '$.page_idx')::int, i))::int AS page_index FROM p WHERE json_type(node) = 'OBJECT'")
+def record_page_indexes(spark: SparkSession, d: str) -> DataFrame:
+    """The page that each page object names; its place where it names none."""
+    tagged = nested.emit_tagged(load_table(spark, d, "middle_json")).filter("tag = 'pages'")
+    return tagged.select("record_id", "node_path", records.page_index_of_record(F.col("payload"), F.col("ordinal").cast("int")).alias("page_index"))
+
+
+@query("SELECT page_result_id, len(list_filter(cells, lambda c: lower(trim(c.category)) = 'table')) AS n_tables, 0 AS n_tables_left, coalesce(len(cells), -1) AS n_cells FROM page_results WHERE cells IS NOT NULL")
+def cells_without_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of each page before and after they are made text."""
+    is_table = lambda c: F.lower(F.trim(c["category"])) == "table"
+    made = recovery.tables_as_text(F.col("cells"))
+    return _pages(spark, d).filter("cells is not null").select("page_result_id", F.size(F.filter("cells", is_table)).alias("n_tables"), F.size(F.filter(made, is_table)).alias("n_tables_left"), F.size(made).alias("n_cells"))
+
+
 # ---- cells
 
 _CATEGORY_SQL = "CASE WHEN {c} IS NULL OR trim({c}) = '' THEN 'Text' ELSE coalesce(map_extract(MAP {{" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(cells.CATEGORIES.items())) + "}}, lower(trim({c})))[1], {c}) END"
@@ -276,7 +297,29 @@ def suspect_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.suspect_pages(_pages(spark, d)).withColumn("issues", F.array_join("issues", " | "))
 
 
+@query(
+    f"""SELECT page_result_id, (raw_len >= 160 AND (n_coords >= 6 OR n_hashes >= 6)) OR contains(coalesce(retry_reason, ''), '{pages.REASONS["pseudotext"]}') AS degraded,
+    sha256(CASE WHEN (raw_len >= 160 AND (n_coords >= 6 OR n_hashes >= 6)) OR contains(coalesce(retry_reason, ''), '{pages.REASONS["pseudotext"]}') THEN '' ELSE coalesce(text, '') END) AS sha256
+    FROM page_results JOIN ({_METRICS_SQL.format(id='page_result_id', c='text', t='page_results')}) USING (page_result_id)"""
+)
+def degraded_pages(spark: SparkSession, d: str) -> DataFrame:
+    return recovery.degraded(_pages(spark, d)).select("page_result_id", "degraded", F.sha2(X.or_empty(F.col("text")), 256).alias("sha256"))
+
+
 @query()
+def merged_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of each page as those of a retry, merged where they belong together."""
+    boxed = cells.block_cells_all(_blocks(spark, d)).filter("box is not null")
+    at = boxed.select("file_id", "page_index", "category", F.col("content").alias("text"), F.col("box")[0].cast("double").alias("left"), F.col("box")[1].cast("double").alias("top"), (F.col("box")[2] - F.col("box")[0]).cast("double").alias("width"), (F.col("box")[3] - F.col("box")[1]).cast("double").alias("height"))
+    return recovery.merge_retry_blocks(at).groupBy("file_id", "page_index").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_merged").alias("n_before"))
+
+
+@query(
+    _ISSUES_SQL + """, s AS (SELECT file_id, page_no, list_sort(list_distinct(list(issue))) AS issues FROM i GROUP BY 1, 2), g AS (SELECT file_id, list({'page_no': page_no, 'issues': issues} ORDER BY page_no) AS sp FROM s GROUP BY 1),
+    d AS (SELECT file_id, unnest(range(page_count)) AS page_index, true AS wanted FROM source_files WHERE page_count > 0), h AS (SELECT DISTINCT file_id, page_index, true AS here FROM page_results),
+    c AS (SELECT file_id, count(wanted) AS n_expected, count(*) FILTER (wanted AND here) AS n_covered, count(*) FILTER (wanted AND here IS NULL) AS n_missing FROM d FULL JOIN h USING (file_id, page_index) GROUP BY 1)
+    SELECT file_id, to_json({'file_id': file_id, 'n_expected': n_expected, 'n_covered': n_covered, 'n_missing': n_missing, 'suspect_pages': coalesce(sp, [])})::varchar AS report FROM c LEFT JOIN g USING (file_id)"""
+)
 def quality_reports(spark: SparkSession, d: str) -> DataFrame:
     return writers.quality_reports(pages.suspect_pages(_pages(spark, d)), pages.coverage_manifest(_files(spark, d), _pages(spark, d)))
 
@@ -298,6 +341,7 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- content of later pages
 
+_LAST_ROWS_SQL = "(SELECT * FROM (SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY file_id, page_index, run_no ORDER BY loaded_at, page_result_id) = 1) QUALIFY row_number() OVER (PARTITION BY file_id, page_index ORDER BY run_no DESC, page_result_id) = 1)"
 # Compatibility forms and case folding, as far as the tables hold such characters.
 _FULL = "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]))
 _HALF = "".join(chr(ord(c) - 0xFEE0) for c in _FULL)
@@ -324,7 +368,12 @@ def leaking_pages(spark: SparkSession, d: str) -> DataFrame:
     return overlap.leaking_pages(overlap.page_keys(pages.last_run(_pages(spark, d)))).select("file_id", "page_index", F.size("targets").cast("bigint").alias("n_targets"), F.col("targets")[0]["target_page"].alias("first_target"))
 
 
-@query()
+@query(
+    f"""WITH o AS ({_OVERLAP_SQL}), p AS {_LAST_ROWS_SQL}, z AS (SELECT *, {_OUT_SQL} AS ok, {_SOURCE_SQL} AS sk FROM p),
+    lk AS (SELECT DISTINCT o.file_id, o.page_index FROM o JOIN z a ON o.file_id = a.file_id AND o.page_index = a.page_index JOIN z b ON o.file_id = b.file_id AND o.target_page - 1 = b.page_index
+    WHERE length(a.sk) >= 120 AND length(a.ok) * 4 > length(a.sk) * 5 AND length(b.sk) >= 500 AND o.total > 0 AND o.shared * 5 >= o.total * 3)
+    SELECT file_id, page_index, CASE WHEN length({_KEY_SQL.format(c="coalesce(source_text, '')")}) >= 120 THEN 'source_text' ELSE 'image' END AS repaired_from FROM lk JOIN p USING (file_id, page_index)"""
+)
 def leak_repairs(spark: SparkSession, d: str) -> DataFrame:
     last = pages.last_run(_pages(spark, d))
     keys = overlap.page_keys(last)
@@ -482,20 +531,28 @@ def page_count_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return validate.page_count_mismatches(_files(spark, d), _pages(spark, d))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT page_result_id, coalesce(text, '') AS t FROM page_results), m AS (SELECT page_result_id, list_distinct(regexp_extract_all(t, '[\x{2e80}-\x{2fff}\x{31c0}-\x{31ef}\x{f900}-\x{faff}]')) AS r, len(list_distinct(regexp_extract_all(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]'))) AS c,
+    regexp_extract_all(t, '(?s).{0,45}(?:\\(?:frac|dfrac|tfrac|sqrt|text|textregistered|mathrm|mathbf|mathit|mathsf|operatorname|times|cdot|alpha|beta|gamma|delta|epsilon|theta|lambda|mu|pi|sigma|omega|leq|geq|neq|left|right)\b|[\^_]\s*\{).{0,45}') AS x,
+    regexp_extract_all(t, '(?m)\*\*[^*\n]+\*\*|__[^_\n]+__|~~[^~\n]+~~|^#{1,6}\s|```|\[[^\]\n]+\]\([^)\n]+\)') AS k FROM t)
+    SELECT page_result_id, 'radical_chars' AS rule, array_to_string(list_sort(r), ' ') AS detail FROM m WHERE len(r) > 0 UNION ALL SELECT page_result_id, 'control_chars', c::varchar FROM m WHERE c > 0
+    UNION ALL SELECT page_result_id, 'latex_residue', x[1] FROM m WHERE len(x) > 0 UNION ALL SELECT page_result_id, 'suspected_markdown', array_to_string(k[1:5], ' ') FROM m WHERE len(k) > 0"""
+)
 def page_validation(spark: SparkSession, d: str) -> DataFrame:
     return validate.failures(validate.scan(_pages(spark, d)), ["page_result_id"])
 
 
 @query()
 def inline_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The styled segments of every line, one row each."""
     one = lines.explode_lines(_pages(spark, d), ["page_result_id"], "md_nohf_text").filter("line <> ''")
-    return one.select("page_result_id", F.explode(segments("line")).alias("s")).groupBy("s.style").agg(F.count(F.lit(1)).alias("n_segments"))
+    return one.select("page_result_id", "line_no", F.posexplode(segments("line")).alias("segment_no", "s")).select("page_result_id", "line_no", "segment_no", "s.*")
 
 
 @query()
-def script_run_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select(F.explode(script_runs(F.col("text"))).alias("r")).groupBy("r.script").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.length("r.text")).alias("n_chars"))
+def script_runs_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of one script of every document, one row each."""
+    return _docs(spark, d).select("doc_id", F.posexplode(script_runs(F.col("text"))).alias("run_no", "r")).select("doc_id", "run_no", "r.script", F.length("r.text").alias("n_chars"))
 
 
 # ---- state
@@ -506,9 +563,11 @@ def document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return state.content_fingerprints(_docs(spark, d), "doc_id", "text")
 
 
-@query("SELECT sha256, min(file_id) AS first_file_id, count(*) AS n_files FROM source_files WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-def files_registered_again(spark: SparkSession, d: str) -> DataFrame:
-    return state.registered_again(_files(spark, d)).select("sha256", "first_file_id", "n_files")
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_file_id, count(*) AS n_files FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) > 1")
+def documents_registered_again(spark: SparkSession, d: str) -> DataFrame:
+    """Contents that stand under more than one id."""
+    contents = _docs(spark, d).filter("text <> ''").select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("sha256"))
+    return state.registered_again(contents).select("sha256", "first_file_id", "n_files")
 
 
 @query("SELECT file_id, regexp_replace(regexp_replace(regexp_replace(file_path, '\\\\', '/', 'g'), '/{2,}', '/', 'g'), '^(?:\\./)+', '') AS path, lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) AS suffix FROM source_files")
@@ -516,9 +575,10 @@ def file_records(spark: SparkSession, d: str) -> DataFrame:
     return state.file_records(_files(spark, d)).select("file_id", "path", "suffix")
 
 
-@query("SELECT s.file_id FROM source_files s WHERE NOT EXISTS (SELECT 1 FROM page_results p WHERE p.file_id = s.file_id)")
-def files_pending(spark: SparkSession, d: str) -> DataFrame:
-    return state.pending(_files(spark, d), _pages(spark, d), ["file_id"]).select("file_id")
+@query("SELECT f.file_id, f.page_index FROM (SELECT file_id, unnest(range(page_count))::int AS page_index FROM source_files WHERE page_count > 0) f WHERE NOT EXISTS (SELECT 1 FROM page_results p WHERE p.file_id = f.file_id AND p.page_index = f.page_index AND p.text <> '')")
+def pages_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of the files that have no text yet."""
+    return state.pending(pages.page_domain(_files(spark, d)), _pages(spark, d).filter("text <> ''"), ["file_id", "page_index"])
 
 
 @query(
