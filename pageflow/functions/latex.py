@@ -5,11 +5,25 @@ from __future__ import annotations
 import re
 
 # Commands and the characters that they stand for, by sort.
-GREEK = "alpha α beta β gamma γ delta δ epsilon ε varepsilon ε zeta ζ eta η theta θ vartheta ϑ iota ι kappa κ lambda λ mu μ nu ν xi ξ pi π varpi ϖ rho ρ varrho ϱ sigma σ varsigma ς tau τ upsilon υ phi φ varphi ϕ chi χ psi ψ omega ω Gamma Γ Delta Δ Theta Θ Lambda Λ Xi Ξ Pi Π Sigma Σ Upsilon Υ Phi Φ Psi Ψ Omega Ω"
-RELATIONS = "le ≤ leq ≤ ge ≥ geq ≥ ne ≠ neq ≠ approx ≈ sim ∼ simeq ≃ equiv ≡ propto ∝ in ∈ notin ∉ subset ⊂ subseteq ⊆ supset ⊃ supseteq ⊇ to → rightarrow → leftarrow ← Rightarrow ⇒ Leftarrow ⇐ leftrightarrow ↔"
-OPERATORS = "times × cdot · pm ± mp ∓ div ÷ infty ∞ partial ∂ nabla ∇ cup ∪ cap ∩ forall ∀ exists ∃ neg ¬ land ∧ lor ∨ sum ∑ prod ∏ int ∫ oint ∮ ldots … cdots ⋯ dots … prime ′ circ ∘ degree °"
-_PAIRS = (GREEK + " " + RELATIONS + " " + OPERATORS).split()
-SYMBOLS = dict(zip(_PAIRS[::2], _PAIRS[1::2], strict=True))
+GREEK = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "varepsilon": "ε", "zeta": "ζ", "eta": "η",
+    "theta": "θ", "vartheta": "ϑ", "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ",
+    "pi": "π", "varpi": "ϖ", "rho": "ρ", "varrho": "ϱ", "sigma": "σ", "varsigma": "ς", "tau": "τ", "upsilon": "υ",
+    "phi": "φ", "varphi": "ϕ", "chi": "χ", "psi": "ψ", "omega": "ω", "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ",
+    "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Upsilon": "Υ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+}
+RELATIONS = {
+    "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "neq": "≠", "approx": "≈", "sim": "∼",
+    "simeq": "≃", "equiv": "≡", "propto": "∝", "in": "∈", "notin": "∉", "subset": "⊂", "subseteq": "⊆", "supset": "⊃",
+    "supseteq": "⊇", "to": "→", "rightarrow": "→", "leftarrow": "←", "Rightarrow": "⇒", "Leftarrow": "⇐", "leftrightarrow": "↔",
+}
+OPERATORS = {
+    "times": "×", "cdot": "·", "pm": "±", "mp": "∓", "div": "÷", "infty": "∞", "partial": "∂", "nabla": "∇",
+    "cup": "∪", "cap": "∩", "forall": "∀", "exists": "∃", "neg": "¬", "land": "∧", "lor": "∨", "sum": "∑",
+    "prod": "∏", "int": "∫", "oint": "∮", "ldots": "…", "cdots": "⋯", "dots": "…", "prime": "′", "circ": "∘",
+    "degree": "°",
+}
+SYMBOLS = GREEK | RELATIONS | OPERATORS
 SUPERSCRIPTS = dict(zip("0123456789+-=()ni", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", strict=True))
 SUBSCRIPTS = dict(zip("0123456789+-=()aehijklmnoprstuvx", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₕᵢⱼₖₗₘₙₒₚᵣₛₜᵤᵥₓ", strict=True))
 TEXT_COMMANDS = frozenset("text textbf textit textrm textsf texttt emph mathrm mathbf mathit mathsf mathcal mathbb operatorname mbox hbox boldsymbol underline overline".split())
