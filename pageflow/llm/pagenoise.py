@@ -48,9 +48,13 @@ NAME_SHARE = 0.6
 KNOWN_WORDS = 50_000
 
 # What a recogniser writes for what, in order of frequency.
-MISREADINGS = "e>c c>e t>f f>t i>! n>ri l>1 i>1 d>cl o>0 s>5 u>ii m>rn g>9 h>b b>6 w>vv in>m y>v li>h о>0 и>н й>и л>д з>3 б>6 ш>щ п>н н>и"
+MISREADINGS = [
+    ("e", "c"), ("c", "e"), ("t", "f"), ("f", "t"), ("i", "!"), ("n", "ri"), ("l", "1"), ("i", "1"), ("d", "cl"), ("o", "0"),
+    ("s", "5"), ("u", "ii"), ("m", "rn"), ("g", "9"), ("h", "b"), ("b", "6"), ("w", "vv"), ("in", "m"), ("y", "v"), ("li", "h"),
+    ("о", "0"), ("и", "н"), ("й", "и"), ("л", "д"), ("з", "3"), ("б", "6"), ("ш", "щ"), ("п", "н"), ("н", "и"),
+]
 # Skeletons are equal whichever of two forms was read for the other, so a misreading counts in both directions.
-_RULES = list(dict.fromkeys(rule for x in MISREADINGS.split() for a, b in [x.split(">")] for rule in ((a, b), (b, a))))
+_RULES = list(dict.fromkeys(rule for a, b in MISREADINGS for rule in ((a, b), (b, a))))
 # Each glyph as its strokes; forms that are misread for each other get one skeleton.
 _STROKES = str.maketrans(
     {"l": "i", "1": "i", "!": "i", "|": "i", "r": "i", "n": "ii", "u": "ii", "h": "ii", "b": "ii", "6": "ii", "m": "iii", "d": "ei", "c": "e", "f": "t", "w": "vv", "y": "v", "0": "o", "5": "s", "9": "g", "о": "o", "н": "и", "й": "и", "п": "и", "л": "д", "3": "з", "б": "ii", "щ": "ш"}
